@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .tables import read
 
-WINDOW, MASK, LEAST = 16, 1023, 256
+WINDOW, MASK, LEAST = 16, 2047, 256
 MEMO_BYTES, MEMO_WORDS = 64 << 20, 400_000
 #: The white space that bytes.split() takes, all of it white space to the tokenizer.
 SPACES = b" \t\n\r\x0b\x0c"
@@ -90,52 +90,45 @@ class Encoder:
         self.chunks: dict[bytes, tuple[list[bytes], list[bytes]]] = {}
         self.held = 0
 
-    def plain(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, as bytes of unsigned 32-bit integers."""
+    def learn(self, pieces: list[list[bytes]]) -> None:
+        """Put the words of ``pieces`` into the memo, the new ones encoded in one go."""
+        if len(self.words) > MEMO_WORDS:  # what is used again moves from the older half to the newer
+            self.words, self.before = {}, self.words
         memo, before = self.words, self.before
-        ids = list(map(memo.get, words))
-        if None not in ids:
-            return ids
-        new = []
-        for w in {w for w, e in zip(words, ids) if e is None}:
-            if (got := before.get(w)) is None:
-                new.append(w)
-            else:
-                memo[w] = got
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
+        new = set().union(*pieces).difference(memo)
+        if old := [w for w in new if w in before]:
+            memo.update((w, before[w]) for w in old)
+            new.difference_update(old)
+        todo = list(new)
+        for at in range(0, len(todo), 5000):
+            part = todo[at : at + 5000]
             for w, e in zip(part, self.lib.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
                 memo[w] = np.array(e.ids, "<u4").tobytes()
-        ids = list(map(memo.get, words))
-        if len(memo) > MEMO_WORDS:  # what is used again moves from the older half to the newer
-            self.words, self.before = {}, memo
-        return ids
 
     def window(self, raw: bytes) -> bytes:
         return np.array(self.lib.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def chunk(self, raw: bytes) -> tuple[list[bytes], list[bytes]]:
-        """Words of a chunk and the ids of each; kept for the next document."""
-        if (got := self.chunks.get(raw)) is None:
-            if self.held > MEMO_BYTES:
-                self.chunks.clear()
-                self.held = 0
-            words = raw.split()
-            got = self.chunks[raw] = (words, self.plain(words))
-            self.held += 12 * len(raw) + 200
-        return got
-
-    def encode(self, text: str) -> bytes:
-        """Ids of ``text`` as little-endian unsigned 32-bit integers."""
-        raw = text.encode()
-        at = cuts(raw)
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        raws = [t.encode() for t in texts]
+        chunked = [[raw[a:b] for a, b in zip(at := cuts(raw), at[1:])] for raw in raws]
+        if self.held > MEMO_BYTES:
+            self.chunks.clear()
+            self.held = 0
+        new = {c: c.split() for c in set().union(*chunked).difference(self.chunks)}
+        self.learn(list(new.values()))
+        for c, words in new.items():
+            self.chunks[c] = (words, list(map(self.words.__getitem__, words)))
+            self.held += 12 * len(c) + 200
+        return [self.assemble(c) for c in chunked]
+
+    def assemble(self, pieces: list[bytes]) -> bytes:
         words: list[bytes] = []
         ids: list[bytes] = []
         open_end = False
-        for a, b in zip(at, at[1:]):
-            piece = raw[a:b]
-            w, e = self.chunk(piece)
-            if open_end and w and piece[0] not in SPACES and words:
+        for piece in pieces:
+            w, e = self.chunks[piece]
+            if open_end and w and words and piece[0] not in SPACES:
                 self.join(words, ids, w, e)
             else:
                 words += w
@@ -186,7 +179,9 @@ def encode_documents(docs: DataFrame, path: str, decode: bool = False) -> DataFr
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path)
         for b in batches:
-            ids = [own.encode(t) for t in b["text"]]
+            ids: list[bytes] = []
+            for at in range(0, len(b), 256):
+                ids += own.encode_many(b["text"].iloc[at : at + 256].tolist())
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids, "decoded": own.decode(ids) if decode else None})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
