@@ -111,7 +111,7 @@ class Encoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         raws = [t.encode() for t in texts]
-        chunked = [[raw[a:b] for a, b in zip(at := cuts(raw), at[1:])] for raw in raws]
+        chunked = [[raw[a:b] for a, b in zip(at, at[1:])] for raw, at in zip(raws, map(cuts, raws))]
         if self.held > MEMO_BYTES:
             self.chunks.clear()
             self.held = 0
