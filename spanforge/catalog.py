@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .registered import ORACLES, QUERIES, metrics
+
+__all__ = ["ORACLES", "QUERIES", "metrics"]
