@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .registered import ORACLES, QUERIES, ingest, metrics
+from .registered import ORACLES, QUERIES, ingest, ledger, metrics
 
-__all__ = ["ORACLES", "QUERIES", "ingest", "metrics"]
+__all__ = ["ORACLES", "QUERIES", "ingest", "ledger", "metrics"]
