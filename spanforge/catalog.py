@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .registered import ORACLES, QUERIES, candidates, ingest, ledger, metrics
+from .registered import ORACLES, QUERIES, candidates, ingest, ledger, metrics, text
 
-__all__ = ["ORACLES", "QUERIES", "candidates", "ingest", "ledger", "metrics"]
+__all__ = ["ORACLES", "QUERIES", "candidates", "ingest", "ledger", "metrics", "text"]
