@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .registered import ORACLES, QUERIES, candidates, entity, ingest, ledger, metrics, text
+from .registered import ORACLES, QUERIES, candidates, entity, ingest, ledger, metrics, review, text
 
-__all__ = ["ORACLES", "QUERIES", "candidates", "entity", "ingest", "ledger", "metrics", "text"]
+__all__ = ["ORACLES", "QUERIES", "candidates", "entity", "ingest", "ledger", "metrics", "review", "text"]
