@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -246,8 +247,6 @@ def identity_merge_gate(pairs: DataFrame, nicknames: DataFrame, least: float = 0
     than 3 letters and Jaro-Winkler similar, are near. Similarity is computed
     on the distinct pairs of first names.
     """
-    import pandas as pd
-
     w = lambda c: F.split(F.lower(F.trim(c)), r"\s+")
     rows = pairs.withColumn("_fa", F.get(w("name_a"), F.lit(0))).withColumn("_fb", F.get(w("name_b"), F.lit(0))).withColumn("_same_last", F.element_at(w("name_a"), -1) == F.element_at(w("name_b"), -1))
 
