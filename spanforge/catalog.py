@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .registered import ORACLES, QUERIES, candidates, entity, ingest, ledger, metrics, review, streams, text
+from .registered import ORACLES, QUERIES, candidates, entity, ingest, ledger, metrics, more, review, streams, text
 
-__all__ = ["ORACLES", "QUERIES", "candidates", "entity", "ingest", "ledger", "metrics", "review", "streams", "text"]
+__all__ = ["ORACLES", "QUERIES", "candidates", "entity", "ingest", "ledger", "metrics", "more", "review", "streams", "text"]
