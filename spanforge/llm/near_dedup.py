@@ -232,9 +232,8 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     close = components(met.mapInPandas(lambda it: close_edges(it, chunks), "a long, b long"))
 
     # Every candidate pair lies within one of these groups.
-    close = staged(close, "close")
     sized = close.join(close.groupBy(F.col("component").alias("comp")).agg(F.count("*").alias("n")), F.col("component") == F.col("comp")).select("comp", "n", F.col("node").alias("rep"))
-    member = staged(sized.join(reps.select(F.col("rep").alias("r"), "sig", "a", "b"), F.col("rep") == F.col("r")).drop("r"), "members")
+    member = sized.join(reps.select(F.col("rep").alias("r"), "sig", "a", "b"), F.col("rep") == F.col("r")).drop("r")
 
     def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
