@@ -179,10 +179,10 @@ def encode_documents(docs: DataFrame, path: str, decode: bool = False) -> DataFr
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path)
         for b in batches:
-            ids: list[bytes] = []
-            for at in range(0, len(b), 256):
-                ids += own.encode_many(b["text"].iloc[at : at + 256].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids, "decoded": own.decode(ids) if decode else None})
+            for at in range(0, len(b), 256):  # lists of ids take many times the room of their bytes
+                part = b.iloc[at : at + 256]
+                ids = own.encode_many(part["text"].tolist())
+                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": ids, "decoded": own.decode(ids) if decode else None})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = docs.select("doc_id", "text").mapInPandas(routed, f"doc_id {kind}, text string, route long").hint("rebalance", "route").sortWithinPartitions("route")
