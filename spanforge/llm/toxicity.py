@@ -58,7 +58,6 @@ def train(texts: list[str], labels: list[int], share: float = 0.5, rounds: int =
     p = 1 + np.bincount(ids[toxic], minlength=1 << BITS)
     q = 1 + np.bincount(ids[~toxic], minlength=1 << BITS)
     r = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
-    r[p + q <= 4] = 0  # seen in two rows at most
     w, b, m, s, mb, sb = np.ones(1 << BITS, np.float32) * 0.01, 0.0, 0.0, 0.0, 0.0, 0.0
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     for t in range(1, rounds + 1):
