@@ -27,7 +27,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, ou
     ones, n = known.agg(F.sum("y"), F.count("*")).first()
     pick = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = pick[0].unionByName(pick[1]).select(F.col("doc_id").alias("_id"), F.col("y").alias("label"))
-    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "label")
     return rows, (ones or 0) / n if n else 0.0
 
 
@@ -39,7 +39,8 @@ def learnt(rows: DataFrame, train: Callable[[list[str], list[int]], object]) ->
         p = p.assign(text=p["text"].fillna("")).sort_values(["label", "text"])
         yield pd.DataFrame({"model": [pickle.dumps(train(p["text"].tolist(), p["label"].astype(int).tolist()))]})
 
-    return pickle.loads(rows.repartition(1).mapInPandas(run, "model binary").first()[0])
+    made = rows.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(made[0]) if made else train([], [])  # no rows, no task
 
 
 def scored(docs: DataFrame, score: Callable[[object, list[str]], list[float]], model: object, parts: int, out: int, least: float = 0.3) -> DataFrame:
