@@ -48,13 +48,15 @@ def duck(sf_dir):
 def rows_of(frame):
     """Rows of a pandas frame as sorted tuples of text, columns by name, numbers rounded."""
 
+    import pandas as pd
+
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pd.NaT or v != v:
             return "NULL"
         if isinstance(v, bool) or type(v).__name__ == "bool":
             return str(bool(v))
         if hasattr(v, "isoformat"):
-            return v.isoformat()
+            return str(pd.Timestamp(v))
         if isinstance(v, (int, float)) or hasattr(v, "dtype"):
             return repr(round(float(v), 6))
         return str(v)
