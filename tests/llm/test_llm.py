@@ -192,6 +192,30 @@ def test_passages_planted(spark):
     assert " ".join(shared) not in cut[3] and " ".join(shared) in cut[0] and cut[90] is None and cut[2] == texts[2]
 
 
+def pieced(rng, pieces, words_each, same, pairs=12):
+    """Rows whose last ``2 * pairs`` documents share, two and two, a passage of pieces that older ones have singly."""
+    word = lambda: f"{rng.choice('bcdfg')}{rng.randrange(10**6)}"
+    text = lambda n: [word() for _ in range(n)]
+    rows, last, want = [], [], []
+    for g in range(pairs):
+        parts = [text(words_each) for _ in range(pieces)]
+        rows += [(len(rows) + k, " ".join(text(80) + p + text(80))) for k, p in enumerate(parts)]
+        whole = sum(parts, [])
+        other = [w if rng.random() < same else word() for w in whole]
+        last.append([" ".join(text(70) + w + text(70)) for w in (whole, other)])
+    for both in last:
+        want.append((len(rows) + 1, len(rows)))
+        rows += [(len(rows) + k, t) for k, t in enumerate(both)]
+    return rows, want
+
+
+@pytest.mark.parametrize("pieces, words_each", [(2, 40), (3, 45), (2, 31), (4, 20)])
+def test_passages_of_pieces_seen_before(spark, pieces, words_each):
+    rows, want = pieced(random.Random(pieces * words_each), pieces, words_each, 1.0)
+    got = {(r.doc_id, r.of_doc_id, r.n_words) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(any(pair == (d, o) and n >= pieces * words_each for d, o, n in got) for pair in want)
+
+
 def test_passages_odd(odd, none):
     assert passages.repeated_passages(odd).count() == 0 and passages.repeated_passages(none).count() == 0
 
