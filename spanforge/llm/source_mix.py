@@ -78,7 +78,7 @@ def mix_rows(docs: DataFrame, source: str = "source", weight: str | None = None,
     ranked = F.when((F.col("_pi") > 0) & (F.col("_mx_size") > 0), odds(F.col("_u")) / odds(F.col("_pi")))
     # A rank range: with equal weights the rank times the odds of the mean share is the random odds again.
     spread = F.col("_rank") * F.when(mean > 0, odds(mean)).otherwise(1.0)
-    share = share.withColumn("_rank", ranked).withColumn("_bin", F.least(F.lit(bins - 1), F.floor(F.lit(bins) * spread / (1 + spread))).cast("int"))
+    share = share.withColumn("_rank", ranked).withColumn("_bin", F.when(F.col("_rank").isNotNull(), F.least(F.lit(bins - 1), F.floor(F.lit(bins) * spread / (1 + spread))).cast("int")))
 
     sums = share.groupBy(F.col("_mx_source").alias("b_source"), F.col("_bin").alias("b")).agg(F.sum(F.when(F.col("_rank").isNotNull(), F.col("_mx_size"))).alias("words"), F.sum(F.col("_sure") * F.col("_mx_size")).alias("sure"), F.max("target").alias("goal"))
     by_source, run = Window.partitionBy("b_source"), Window.partitionBy("b_source").orderBy(F.col("b").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)

@@ -289,6 +289,20 @@ def test_mix_weights(spark):
     assert min(got[i] for i in range(10)) == 3 and got[900] == got[901] == 0
 
 
+def test_mix_whole_copies_equal_sql(spark):
+    """A source at its cap, and a single source, have no fraction to draw."""
+    duckdb = pytest.importorskip("duckdb")
+    big, small = [(i, "w " * 100, "b") for i in range(40)], [(100 + i, "w " * (3 + i), "a") for i in range(9)]
+    for rows in (big + small, big, small):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        con = duckdb.connect()
+        con.register("documents", df.toPandas())
+        want = {r[0]: r[4] for r in con.execute(source_mix.SQL).fetchall()}
+        got = {r._mx_doc: r._mx_copies * r._mx_size for r in source_mix.mix_rows(df).collect()}
+        assert got == want and all(got[i] <= 3 * len(t.split()) for i, t, _ in rows)
+        assert source_mix.mix(df).count() == sum(got[i] // len(t.split()) for i, t, _ in rows)
+
+
 # --- classifiers
 
 
