@@ -95,10 +95,14 @@ def extract_claim_speakers(claims: DataFrame, resolved: DataFrame) -> DataFrame:
 def fuzzy_alias_matches(terms: DataFrame, aliases: DataFrame, least: float = 0.4, most_edits: int = 2) -> DataFrame:
     """term, alias, score: exact 1.0, prefix 0.95, else trigram similarity or 1 - edits / 5, whichever is larger.
 
-    Pairs meet on trigrams at half the threshold; only words over 3 characters are fuzzy.
+    Pairs meet on trigrams at half the threshold, or on the first four characters
+    where an alias begins with the term; only words over 3 characters are fuzzy.
     """
     t, a = terms.select(F.lower("term").alias("term")).distinct(), aliases.select(F.lower("alias").alias("alias")).distinct()
-    near = trigram_join(t.where(F.length("term") > 3), a, "term", "alias", least / 2)
+    long = t.where(F.length("term") > 3)
+    near = trigram_join(long, a, "term", "alias", least / 2)
+    begins = long.join(a, (F.left("term", F.lit(4)) == F.left("alias", F.lit(4))) & F.col("alias").startswith(F.col("term"))).withColumn("similarity", F.lit(0.0))
+    near = near.unionByName(begins).groupBy("term", "alias").agg(F.max("similarity").alias("similarity"))
     edits = F.levenshtein(F.col("term"), F.col("alias"), most_edits)
     score = F.when(F.col("term") == F.col("alias"), 1.0).when(F.col("alias").startswith(F.col("term")), 0.95).otherwise(F.greatest("similarity", F.when(edits >= 0, 1 - edits / 5.0).otherwise(0.0)))
     short = t.where(F.length("term") <= 3).join(a, F.col("term") == F.col("alias")).select("term", "alias", F.lit(1.0).alias("score"))

@@ -173,3 +173,46 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 200
+
+
+def test_fuzzy_queries_take_all_rows(spark, sf_dir):
+    from spanforge import catalog
+
+    got = {(r.term, r.alias): r.score for r in catalog.QUERIES["ent09_fuzzy_alias_matches"](spark, sf_dir).collect()}
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name").collect()
+    terms, names = {(p.p_name[:5] + str(p.p_partkey % 10)).lower() for p in part}, {p.p_name.lower() for p in part}
+
+    def grams(w):
+        w = f"  {w} "
+        return {w[i : i + 3] for i in range(len(w) - 2)}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    of = {w: grams(w) for w in terms | names}
+    want = {}
+    for a in terms:
+        for b in names:
+            if b.startswith(a):
+                want[a, b] = 1.0 if a == b else 0.95
+            else:
+                d = edits(a, b) if abs(len(a) - len(b)) <= 2 else 9
+                k = max(len(of[a] & of[b]) / len(of[a] | of[b]), 1 - d / 5 if d <= 2 else 0)
+                if k >= 0.4:
+                    want[a, b] = k
+    assert got == pytest.approx(want)
+    ids = {int(r.id) for r in catalog.QUERIES["ent26_suggest_contact_aliases"](spark, sf_dir).select("id").distinct().collect()}
+    assert not ids or max(ids) >= 20
+
+
+def test_fuzzy_alias_prefix_of_a_long_alias(spark):
+    t = spark.createDataFrame([("green",)], "term string")
+    a = spark.createDataFrame([("green antique chocolate lavender metallic",), ("evergreen",)], "alias string")
+    got = {r.alias: r.score for r in entity.fuzzy_alias_matches(t, a).collect()}
+    assert got["green antique chocolate lavender metallic"] == 0.95
