@@ -178,15 +178,15 @@ def claim_overlap(spans: DataFrame, claims: DataFrame, recent: int = 8, scale: f
 def claim_crossref(spans: DataFrame, candidates: DataFrame, claims: DataFrame) -> DataFrame:
     """score of each (span, candidate): IDF-weighted share of the span's terms that the project's claims have.
 
-    Terms and claim words meet on their first five characters, then one must
-    begin with the other (or be equal). IDF counts only the span's candidates.
+    Terms and the claim words of the span's candidates meet on their first five
+    characters, then one must begin with the other (or be equal). IDF counts only the span's candidates.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: F.length(x) >= 4))
     terms = spans.select("span_id", F.explode(words(F.col("text"))).alias("term")).withColumn("_k", F.left("term", F.lit(5)))
     own = claims.where("active AND project_id IS NOT NULL").select("project_id", F.explode(words(F.col("claim_text"))).alias("word")).distinct().withColumn("_k", F.left("word", F.lit(5)))
     pairs = candidates.select("span_id", "project_id").distinct()
-    hit = terms.join(own, "_k").where((F.col("term") == F.col("word")) | (F.col("term").startswith(F.col("word")) & (F.length("word") >= 5)) | (F.col("word").startswith(F.col("term")) & (F.length("term") >= 5)))
-    hit = hit.select("span_id", "project_id", "term").distinct().join(pairs, ["span_id", "project_id"])
+    hit = terms.join(pairs, "span_id").join(own, ["project_id", "_k"]).where((F.col("term") == F.col("word")) | (F.col("term").startswith(F.col("word")) & (F.length("word") >= 5)) | (F.col("word").startswith(F.col("term")) & (F.length("term") >= 5)))
+    hit = hit.select("span_id", "project_id", "term").distinct()
     with_claims = pairs.join(own.select("project_id").distinct(), "project_id", "left_semi").groupBy("span_id").agg(F.count("*").alias("_n"))
     df = hit.groupBy("span_id", "term").agg(F.count("*").alias("_df"))
     idf = F.log((F.col("_n") + 1) / (F.coalesce("_df", F.lit(0)) + 1)) + 0.15

@@ -32,7 +32,7 @@ register("txt10_extract_amounts", lambda t: t.orders.selectExpr("o_orderkey", "'
 register("txt12_proper_nouns", lambda t: t.texts.select("interaction_id", F.size(x.extract_proper_nouns(F.col("text"), ("the", "and"))).alias("n")))
 register("txt14_high_signal_terms", lambda t: x.high_signal_terms(t.texts, "interaction_id"))
 register("txt16_normalize_quote", lambda t: t.texts.select("interaction_id", F.md5(x.normalize_quote(F.col("text"))).alias("q")), "texts", "SELECT interaction_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), '‘’“”–— ', '''''\"\"-- '), '[''\"]', '', 'g'), '-', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))) AS q FROM texts")
-register("txt17_verify_quotes", lambda t: x.verify_quotes(t.turns.where("length(text) < 400").select(F.concat_ws("-", "interaction_id", "turn").alias("anchor_id"), F.expr("replace(substr(text, 20, 40), 'e', 'a')").alias("quote"), "text")))
+register("txt17_verify_quotes", lambda t: x.verify_quotes(t.turns.select(F.concat_ws("-", "interaction_id", "turn").alias("anchor_id"), F.expr("replace(substr(text, 20, 40), 'e', 'a')").alias("quote"), "text")))
 register("txt18_extract_speakers", lambda t: x.extract_speakers(_calls(t)), "turns", f"WITH {TURNS}, l AS (SELECT interaction_id, regexp_extract(unnest(string_split(text, chr(10))), '^\\s*([A-Za-z][A-Za-z .''-]{{0,40}}):', 1) AS speaker FROM tr) SELECT interaction_id, speaker, count(*) AS n_lines FROM l WHERE speaker <> '' GROUP BY 1, 2")
 register("txt19_junk_prefilter", lambda t: x.junk_prefilter(t.texts.withColumn("duration_seconds", (F.length("text") * 7 % 20000).cast("double"))).select("interaction_id", "words", "junk"), "texts", """
 WITH a AS (SELECT interaction_id, len(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '')) AS words, length(text) * 7 % 20000 AS d0, len(regexp_extract_all(lower(text), '(?m)^[a-z][a-z .''-]{0,40}:')) AS turns,

@@ -216,3 +216,16 @@ def test_fuzzy_alias_prefix_of_a_long_alias(spark):
     a = spark.createDataFrame([("green antique chocolate lavender metallic",), ("evergreen",)], "alias string")
     got = {r.alias: r.score for r in entity.fuzzy_alias_matches(t, a).collect()}
     assert got["green antique chocolate lavender metallic"] == 0.95
+
+
+def test_crossref_and_quotes_take_all_rows(spark, sf_dir):
+    from spanforge import catalog
+    from spanforge.sources.drivermap import Tables
+
+    t = Tables(spark, sf_dir)
+    turns = t.turns.where("text IS NOT NULL").count()
+    assert catalog.QUERIES["txt17_verify_quotes"](spark, sf_dir).where("verified IS NOT NULL").count() >= turns > 0
+    # Each call has the words of its own claim: all calls of projects with active claims are scored.
+    own = t.claims.where("active AND project_id IS NOT NULL AND length(claim_text) > 9").select(F.col("call_id").alias("span_id"), "project_id").distinct()
+    scored = catalog.QUERIES["cnd20_claim_crossref"](spark, sf_dir)
+    assert own.join(scored, ["span_id", "project_id"], "left_anti").count() == 0 < own.count()
