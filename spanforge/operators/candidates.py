@@ -37,7 +37,7 @@ def match_strength(kind: Column, term: Column) -> Column:
     return (kind == "name") | term.rlike(r"^\d+\s+\S") | F.trim(term).rlike(r"\S\s+\S") | (F.length(F.trim(term)) >= 6)
 
 
-def from_terms(spans: DataFrame, aliases: DataFrame, longest: int = 4, ignored: tuple[str, ...] = ()) -> DataFrame:
+def from_terms(spans: DataFrame, aliases: DataFrame, longest: int | None = None, ignored: tuple[str, ...] = ()) -> DataFrame:
     """Names and aliases in the text: evidence rows without a score."""
     terms = aliases.where(~F.lower("term").isin(*ignored)) if ignored else aliases
     rows = find_terms(spans.select("span_id", "text"), terms.select("project_id", "term", "kind"), "span_id", longest)

@@ -27,19 +27,23 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, all_).otherwise(F.array().cast("array<string>"))
 
 
-def find_terms(texts: DataFrame, terms: DataFrame, key: str, longest: int = 4, text: str = "text", term: str = "term") -> DataFrame:
+def find_terms(texts: DataFrame, terms: DataFrame, key: str, longest: int | None = None, text: str = "text", term: str = "term") -> DataFrame:
     """Every row of ``terms`` with each text that has it as whole words: ``key``, first_token and hits.
 
-    Phrases of 1 to ``longest`` words are made of each text, once per distinct
-    phrase, and joined to the terms' word sequences. The dictionary is
+    Phrases of as many words as the terms have, and not over ``longest`` if it
+    is given, are made of each text and joined to the terms' word sequences. The dictionary is
     broadcast only when the planner sees that it is small.
     """
     words = texts.where(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("_w"))
+    named = terms.withColumn("_phrase", phrase_key(F.col(term))).where(F.col("_phrase") != "")
+    if longest is None:
+        sizes = sorted(r[0] for r in named.select(F.size(F.split("_phrase", " "))).distinct().collect())
+    else:
+        sizes = range(1, longest + 1)
     grams = None
-    for n in range(1, longest + 1):
+    for n in sizes or [1]:
         part = words.select(key, F.posexplode(ngrams(F.col("_w"), n)).alias("_at", "_phrase"))
         grams = part if grams is None else grams.unionByName(part)
-    named = terms.withColumn("_phrase", phrase_key(F.col(term))).where(F.col("_phrase") != "")
     found = grams.join(named, "_phrase")
     return found.groupBy(key, *terms.columns).agg(F.min("_at").alias("first_token"), F.count("*").alias("hits"))
 

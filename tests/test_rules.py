@@ -229,3 +229,10 @@ def test_crossref_and_quotes_take_all_rows(spark, sf_dir):
     own = t.claims.where("active AND project_id IS NOT NULL AND length(claim_text) > 9").select(F.col("call_id").alias("span_id"), "project_id").distinct()
     scored = catalog.QUERIES["cnd20_claim_crossref"](spark, sf_dir)
     assert own.join(scored, ["span_id", "project_id"], "left_anti").count() == 0 < own.count()
+
+
+def test_find_terms_of_many_words(spark):
+    texts = spark.createDataFrame([(1, "the old mill on upper creek road west, again"), (2, "the old mill on upper creek")], "id int, text string")
+    terms = spark.createDataFrame([("p1", "Old Mill on Upper Creek Road West"), ("p2", "mill")], "project_id string, term string")
+    assert {(r.id, r.project_id, r.first_token) for r in match.find_terms(texts, terms, "id").collect()} == {(1, "p1", 1), (1, "p2", 2), (2, "p2", 2)}
+    assert match.find_terms(texts, terms.where("false"), "id").count() == 0
