@@ -12,7 +12,7 @@ pytest.importorskip("spanforge.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from spanforge.llm import bpe, catalog, components, html_text, labelled, line_dedup, near_dedup, passages, quality_mil, quality_rules, shingles, source_mix, topk, toxicity  # noqa: E402
+from spanforge.llm import bpe, catalog, components, labelled, line_dedup, near_dedup, passages, quality_mil, quality_rules, shingles, source_mix, topk, toxicity  # noqa: E402
 from tests.conftest import rows_of  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -234,33 +234,6 @@ def test_chain_is_best_collinear():
         assert abs(got - max(f)) < 1e-9 or len(path) == len(pts)
 
 
-# --- html
-
-
-def test_html():
-    page = """<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li>Home</li></ul></nav><div class="ad">Buy now</div><article><h1>A title</h1><p>One&nbsp;&amp; two
-    lines<br>and <b>bold</b> end.</p><p>&#8364; &lt;tag&gt;</p><aside>no</aside></article><div id="comments"><p>reader says</p></div><footer>&copy; x</footer></body></html>"""
-    assert html_text.main_text(page) == "A title One & two lines and bold end. € <tag>"
-    plain = "<body><div>Menu</div><p>" + "A long enough paragraph of the article. " * 3 + "</p><p>" + "And a second paragraph that goes on. " * 3 + "</p><div class='sidebar'><p>" + "side " * 50 + "</p></div></body>"
-    assert html_text.main_text(plain).endswith("goes on.") and "side" not in html_text.main_text(plain)
-    for odd in (None, "", "<", "<p", "&", "&am", "<!--", "<article>", "<script>x", "a<b", "<p>x<div class=", "</p></p>"):
-        assert isinstance(html_text.main_text(odd), str)
-    assert html_text.main_text("<article><p>cut of&am") == "cut of&am"
-
-
-def test_html_pages(spark, sf_dir):
-    import html
-
-    out = html_text.query(spark, sf_dir).collect()
-    raw = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    for r in out:
-        body = re.search(r"<article>(.*?)</article>", raw[r.page_id], re.S)[1]
-        blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", b))).strip() for b in re.split(r"</?(?:p|h1|br)[^>]*>", body)]
-        assert r.text == " ".join(b for b in blocks if b) and r.n_chars == len(r.text)
-    empty = spark.createDataFrame([], "page_id long, url string, html string")
-    assert html_text.extract(empty).count() == 0
-
-
 # --- mixing
 
 
