@@ -257,23 +257,35 @@ def test_mix_is_near_and_reruns(spark, sf_dir, odd, none):
 
 
 def test_mix_weights(spark):
-    df = spark.createDataFrame([(i, "w " * 10, "s", 5.0 if i < 10 else 1.0) for i in range(100)] + [(900, "w", "s", None), (901, "w", "s", float("nan"))], "doc_id long, text string, source string, weight double")
-    got = {r._mx_doc: r._mx_copies for r in source_mix.mix_rows(df, weight="weight").collect()}
-    assert min(got[i] for i in range(10)) == 3 and got[900] == got[901] == 0
-
-
-def test_mix_whole_copies_equal_sql(spark):
-    """A source at its cap, and a single source, have no fraction to draw."""
+    """Inclusion odds follow the weights; weight 0, null or NaN takes no part in the draw."""
+    rows = [(i, "w " * 10, "s", 50.0 if i < 200 else 1.0) for i in range(600)] + [(900, "w", "s", None), (901, "w", "s", float("nan"))] + [(1000 + i, "w " * 10, "t", 1.0) for i in range(900)]
+    got = {r._mx_doc: r._mx_copies for r in source_mix.mix_rows(spark.createDataFrame(rows, "doc_id long, text string, source string, weight double"), weight="weight", weights=(1, 4)).collect()}
+    heavy, light = sum(got[i] for i in range(200)), sum(got[i] for i in range(200, 600))
+    assert abs(10 * (heavy + light) - 15002 / 5) <= 10 and heavy / 200 > 3 * light / 400 and got[900] == got[901] == 0
+
+
+@pytest.mark.parametrize("rows", [
+    [(i, "w " * (3 + i % 40), None) for i in range(60)],
+    [(i, "w " * 100, "b") for i in range(40)] + [(100 + i, "w " * (3 + i), "a") for i in range(9)],
+    [(1, "w w", "a")] + [(2 + i, "w " * 500, "b") for i in range(30)],
+    [(1, None, "a"), (2, "", "a"), (3, " ", None)] + [(4 + i, "w " * (1 + 7 * i), "c") for i in range(25)],
+    [(7, "w w w", "a")] * 3 + [(8, "w " * 90, "b"), (9, "w " * 10, "b"), (10, "w " * 40, "c")],
+    [(i // 2, "w " * 20, f"s{i % 4}") for i in range(80)],
+])
+def test_mix_equals_sql_and_reaches_targets(spark, rows):
+    """One source, capped sources, empty ones, equal shares and equal rows."""
     duckdb = pytest.importorskip("duckdb")
-    big, small = [(i, "w " * 100, "b") for i in range(40)], [(100 + i, "w " * (3 + i), "a") for i in range(9)]
-    for rows in (big + small, big, small):
-        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-        con = duckdb.connect()
-        con.register("documents", df.toPandas())
-        want = {r[0]: r[4] for r in con.execute(source_mix.SQL).fetchall()}
-        got = {r._mx_doc: r._mx_copies * r._mx_size for r in source_mix.mix_rows(df).collect()}
-        assert got == want and all(got[i] <= 3 * len(t.split()) for i, t, _ in rows)
-        assert source_mix.mix(df).count() == sum(got[i] // len(t.split()) for i, t, _ in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = sorted((r[0], r[1], r[4], str(r[5])) for r in con.execute(source_mix.SQL).fetchall())
+    out = source_mix.mix_rows(df).collect()
+    assert sorted((r._mx_doc, r._mx_size, r._mx_copies * r._mx_size, str(r._mx_source)) for r in out) == want
+    assert all(r._mx_copies <= 3 for r in out)
+    for source in {r._mx_source for r in out}:
+        own = [r for r in out if r._mx_source == source]
+        assert abs(sum(r._mx_copies * r._mx_size for r in own) - own[0]._mx_target) <= max(r._mx_size for r in own) / 2 + 1e-6
+    assert source_mix.mix(df).count() == sum(r._mx_copies for r in out)
 
 
 # --- classifiers
