@@ -6,48 +6,65 @@ for each of ``chunks * WIDTH`` positions, and two signatures differ in so many
 positions. Split into ``chunks``, of two signatures that differ in no more than
 ``2 * chunks - 1`` positions one chunk differs in at most one (pigeonhole); so a
 signature is filed under every chunk with every one position left out, and all
-such pairs meet. At the link threshold a pair differs in more positions with a
-probability below 1e-4.
-
-Files of two or more are compared in blocks, in tasks, and no pair leaves a
-task: only a spanning forest of the close pairs does. Its components are small
-groups that hold every candidate pair whole. Their shingle sets are brought
-together, again in blocks, each close pair is confirmed on the full sets, and
-again only a forest of confirmed links leaves the task. The components of these
-links are the result.
+such pairs meet. A pair exactly at the link threshold differs in more positions
+with the probability :func:`miss_probability`: 2.3e-6 at 85%, 3.3e-5 at 80%.
+
+Files of two to ``BLOCK`` are compared in tasks, and no pair leaves a task: only
+a spanning forest of the close pairs does. Larger files, whose pairs would be
+too many, are joined to one group without a comparison. The components are
+groups that hold every candidate pair whole; each is then told apart on the
+full shingle sets. A group of up to ``SET_BLOCK`` is compared pair by pair in
+one task. A larger one is first compared with some ``LEADERS`` of its members,
+which joins most of a template's copies in one pass; after that, only its
+members outside of its largest cluster are compared with all others, in pairs
+of blocks. So a group of n near copies costs n comparisons, times the members
+that no leader reaches. Again only forests of links leave the tasks; their
+components are the result.
 
 Defined results for odd input
-    Null, empty or wordless text: 0 shingles, a component of its own. A null
-    doc_id: no links, null component, kept. Repeated rows are in one component
-    and all have doc_id = component_id if it is theirs; a doc_id that repeats
-    with other text is linked by each of its texts. Ties go to the smallest
-    doc_id. An empty table gives no rows. Other columns pass through
-    ``keep_one``; its own start with ``_nd_``.
+    Null, empty or wordless text: 0 shingles, a component of its own. Very long
+    texts are read whole. A null doc_id: no links, null component, kept.
+    Repeated rows are in one component and all have doc_id = component_id if it
+    is theirs; a doc_id that repeats with other text is linked by each of its
+    texts. Ties go to the smallest doc_id. An empty table gives no rows.
+    ``keep_one`` takes rows as they are: of each group of rows, whatever their
+    doc_ids, exactly one stays. Other columns pass through it; its own start
+    with ``_nd_``. Some of the tables behind a result (features and group
+    names) stay in the shared folder, as the result is read from them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import mixed, shingle_set
-from .tables import read, staged
+from .tables import dropped, read, staged, text_key
 
 WIDTH = 5
-BLOCK, SET_BLOCK = 1024, 256
+BLOCK, SET_BLOCK, LEADERS = 1024, 256, 16
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, 400, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(12).integers(0, 1 << 63, 400, dtype=np.int64).astype(np.uint64)
 
 
+def miss_probability(percent: int, chunks: int) -> float:
+    """How likely a pair with this similarity differs in more than ``2 * chunks - 1`` positions."""
+    n, p = chunks * WIDTH, percent / 100
+    return sum(math.comb(n, k) * (1 - p) ** k * p ** (n - k) for k in range(2 * chunks, n + 1))
+
+
 def chunks_for(percent: int) -> int:
-    """Enough chunks that a pair at the threshold is within reach but for 1 in 10,000."""
-    return 12 if percent >= 85 else 16
+    """Enough chunks, 12 at least, that a pair at the threshold is out of reach with a probability below 4e-5."""
+    if percent < 80:
+        raise ValueError("pairs below 80 percent are out of the signatures' reach")
+    return next(c for c in range(12, 80) if miss_probability(percent, c) < 4e-5)
 
 
 def signature(shingles: np.ndarray, n: int) -> np.ndarray:
@@ -94,11 +111,10 @@ def filed(reps: DataFrame, chunks: int) -> DataFrame:
     return reps.select("rep", "sig").mapInPandas(rows, "rep long, keys array<long>").select("rep", F.posexplode("keys").alias("slot", "key"))
 
 
-def in_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """``rows``, that have the count n of their key, dealt to pairs of blocks: lo, hi and side."""
-    parts = F.ceil(F.col("n") / F.lit(float(size))).cast("int")
-    own = rows.withColumn("_b", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return own.withColumn("lo", F.least("_b", "_o")).withColumn("hi", F.greatest("_b", "_o")).withColumn("side", F.col("_b") == F.col("lo")).drop("_b", "_o")
+def block_of(n: Column, size: int) -> tuple[Column, Column]:
+    """The block of a row of a group of n, and how many blocks the group has."""
+    parts = F.greatest(F.lit(1), F.ceil(n / F.lit(float(size)))).cast("int")
+    return F.pmod(F.xxhash64("rep"), parts).cast("int"), parts
 
 
 def _matrix(sigs: pd.Series) -> np.ndarray:
@@ -170,12 +186,9 @@ def pairs_within(first: np.ndarray, n: int, most: int = 200_000) -> Iterator[tup
 def close_edges(it: Iterator[pd.DataFrame], chunks: int) -> Iterator[pd.DataFrame]:
     """A forest of the pairs within reach of each other."""
     forest = Forest()
-    for p, first in groups(it, ["key", "lo", "hi"]):
+    for p, first in groups(it, ["key"]):
         sig, rep, slot = _matrix(p["sig"]), p["rep"].to_numpy(), p["slot"].to_numpy()
-        side, cross = p["side"].to_numpy(), (p["lo"] != p["hi"]).to_numpy()
         for i, j in pairs_within(first, len(p)):
-            fit = ~cross[i] | (side[i] != side[j])
-            i, j = i[fit], j[fit]
             same = sig[i] == sig[j]
             near = np.flatnonzero(same.sum(1) >= chunks * WIDTH - (2 * chunks - 1))
             if not len(near):
@@ -192,16 +205,19 @@ def close_edges(it: Iterator[pd.DataFrame], chunks: int) -> Iterator[pd.DataFram
 
 
 def confirmed_edges(it: Iterator[pd.DataFrame], chunks: int, percent: int) -> Iterator[pd.DataFrame]:
-    """A forest of the links that hold on the full shingle sets."""
+    """A forest of the links that hold on the full shingle sets, between the sides of a group or, without sides, in it.
+
+    Rows of one cluster are known to be linked and not compared.
+    """
     forest = Forest()
     for p, first in groups(it, ["comp", "lo", "hi"]):
-        sig, rep = _matrix(p["sig"]), p["rep"].to_numpy()
+        sig, rep, cluster = _matrix(p["sig"]), p["rep"].to_numpy(), p["cluster"].to_numpy()
         side, cross = p["side"].to_numpy(), (p["lo"] != p["hi"]).to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in p["shingles"]]
         sizes = np.array([len(s) for s in sets])
         for i, j in pairs_within(first, len(p)):
             small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-            fit = (100 * small >= percent * large) & (~cross[i] | (side[i] != side[j])) & (rep[i] != rep[j])
+            fit = (100 * small >= percent * large) & (~cross[i] | (side[i] != side[j])) & (cluster[i] != cluster[j])
             i, j = i[fit], j[fit]
             far = (sig[i] != sig[j]).sum(1)
             order = np.flatnonzero(far <= 2 * chunks - 1)
@@ -217,22 +233,68 @@ def confirmed_edges(it: Iterator[pd.DataFrame], chunks: int, percent: int) -> It
     yield forest.edges()
 
 
+def candidate_groups(reps: DataFrame, chunks: int) -> DataFrame:
+    """node, component: groups that hold every pair within reach whole."""
+    rows = staged(filed(reps, chunks), "filed")
+    often = staged(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1").withColumnRenamed("key", "often"), "often")
+    met = rows.join(often, F.col("key") == F.col("often"))
+    sigs = reps.select(F.col("rep").alias("r"), "sig")
+    some = met.where(F.col("n") <= BLOCK).join(sigs, F.col("rep") == F.col("r")).select("key", "slot", "rep", "sig").repartition("key").sortWithinPartitions("key")
+    edges = some.mapInPandas(lambda it: close_edges(it, chunks), "a long, b long")
+    many = met.where((F.col("n") > BLOCK) & (F.col("rep") > F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    out = components(edges.unionByName(many))
+    dropped(rows)
+    dropped(often)
+    return out
+
+
+def linked_in_groups(known: DataFrame, chunks: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b) that connect what is linked inside each group; ``known``: comp, n (null for small groups), rep, sig, shingles."""
+    cols = ["comp", "lo", "hi", "side", "rep", "sig", "shingles", "cluster"]
+
+    def compared(rows: DataFrame) -> DataFrame:
+        dealt = rows.select(*cols).repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
+        return dealt.mapInPandas(lambda it: confirmed_edges(it, chunks, percent), "a long, b long")
+
+    own = known.withColumn("cluster", F.col("rep"))
+    small = compared(own.where("n IS NULL").withColumns({"lo": F.lit(0), "hi": F.lit(0), "side": F.lit(True)}))
+    large = own.where("n IS NOT NULL")
+    if large.isEmpty():
+        return small, []
+    # Every member with each of the leaders, of which each block gets a copy.
+    block, parts = block_of(F.col("n"), SET_BLOCK)
+    members = large.withColumns({"lo": block, "hi": F.lit(-1), "side": F.lit(False)})
+    leaders = large.where(F.pmod(F.xxhash64(F.lit(3), "rep"), "n") < LEADERS).withColumn("lo", F.explode(F.sequence(F.lit(0), parts - 1))).withColumns({"hi": F.lit(-1), "side": F.lit(True)})
+    led = staged(compared(members.unionByName(leaders)), "led")
+    names = components(led)
+    # What is in a group's largest cluster is linked; all others meet each other and that cluster.
+    placed = large.select("comp", "rep").join(names, F.col("rep") == F.col("node"), "left").select("comp", "rep", F.coalesce("component", "rep").alias("cluster"))
+    placed = staged(placed, "clusters")
+    main = placed.groupBy("comp", "cluster").agg(F.count("*").alias("size")).groupBy(F.col("comp").alias("c")).agg(F.max_by("cluster", F.struct("size", "cluster")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
+    main = staged(main.select("c", "main", (F.col("all") - F.col("most")).alias("few"), "most").where("few > 0"), "main")
+    rest = large.drop("cluster").join(placed.select(F.col("rep").alias("r"), "cluster"), F.col("rep") == F.col("r")).join(main, F.col("comp") == F.col("c"))
+    of_few, few = block_of(F.col("few"), SET_BLOCK)
+    of_most, most = block_of(F.col("most"), SET_BLOCK)
+    out = rest.withColumns({"_main": F.col("cluster") == F.col("main"), "_b": of_few, "_all": few, "_m": of_most, "_most": most})
+    # Blocks below 0 are those of the largest cluster: its members go to each block of the others, not to each other.
+    others = out.where("NOT _main").withColumn("_o", F.explode(F.sequence(-F.col("_most"), F.col("_all") - 1)))
+    others = others.withColumns({"lo": F.least("_b", "_o"), "hi": F.greatest("_b", "_o"), "side": F.col("_b") <= F.col("_o")})
+    most_of = out.where("_main").withColumn("hi", F.explode(F.sequence(F.lit(0), F.col("_all") - 1))).withColumns({"lo": -1 - F.col("_m"), "side": F.lit(True)})
+    links = staged(compared(others.select(*cols).unionByName(most_of.select(*cols))), "rest")
+    dropped(names)
+    return small.unionByName(led).unionByName(links), [led, links, placed, main]
+
+
 def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     chunks = chunks_for(percent)
     feats = staged(features(docs, chunks), "shingled")
     reps = staged(feats.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "representatives")
+    close = candidate_groups(reps, chunks)
 
-    rows = filed(reps, chunks)
-    often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "often")
-    met = in_blocks(rows.join(often, F.col("key") == F.col("often")), "key", BLOCK)
-    sigs = reps.select(F.col("rep").alias("r"), "sig")
-    met = met.join(sigs, F.col("rep") == F.col("r")).select("key", "lo", "hi", "side", "slot", "rep", "sig")
-    met = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    close = components(met.mapInPandas(lambda it: close_edges(it, chunks), "a long, b long"))
-
-    # Every candidate pair lies within one of these groups.
-    sized = close.join(close.groupBy(F.col("component").alias("comp")).agg(F.count("*").alias("n")), F.col("component") == F.col("comp")).select("comp", "n", F.col("node").alias("rep"))
+    # Only groups of more than a block need their size: a small table.
+    large = staged(close.groupBy(F.col("component").alias("comp")).agg(F.count("*").alias("n")).where(F.col("n") > SET_BLOCK), "large")
+    sized = close.join(large, F.col("component") == F.col("comp"), "left").select(F.col("component").alias("comp"), "n", F.col("node").alias("rep"))
     member = sized.join(reps.select(F.col("rep").alias("r"), "sig", "a", "b"), F.col("rep") == F.col("r")).drop("r")
 
     def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,21 +305,30 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
             yield p.assign(shingles=[s.tobytes() for s in p["shingles"]]).drop(columns=["text", "a", "b"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(member, F.col("doc_id") == F.col("rep")).select("comp", "n", "rep", "sig", "a", "b", "text")
-    known = texts.mapInPandas(sets, "comp long, n long, rep long, sig binary, shingles binary")
-    known = in_blocks(known, "comp", SET_BLOCK).repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
-    links = components(known.mapInPandas(lambda it: confirmed_edges(it, chunks, percent), "a long, b long"))
+    known = staged(texts.mapInPandas(sets, "comp long, n long, rep long, sig binary, shingles binary"), "sets")
+    edges, used = linked_in_groups(known, chunks, percent)
+    links = components(edges)
 
     named = reps.select("a", "b", "rep").join(links, F.col("rep") == F.col("node"), "left").select(F.col("a").alias("ra"), F.col("b").alias("rb"), F.coalesce("component", "rep").alias("component"))
     named = staged(named, "named")
+    for done in (close, large, known, links, reps, *used):
+        dropped(done)
     out = feats.join(named, (F.col("n") > 0) & (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb")), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group, all columns kept."""
-    gone = near_groups(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_nd_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_nd_gone"], "left_anti")
+    """One row of ``docs`` for each group, all columns kept.
+
+    A row is known by 64 bits of its doc_id and text, and so is a group: rows
+    with one doc_id and different texts are judged each, and of equal rows one
+    stays. Equal rows meet per task before they are shuffled.
+    """
+    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(text_key(F.col("text")), F.lit(b"")))
+    gone = near_groups(docs.select(own.alias("doc_id"), "text"), percent).where(~F.col("kept")).select(F.col("doc_id").alias("_nd_gone")).distinct()
+    rows = docs.withColumn("_nd_row", own).dropDuplicates(["_nd_row"])
+    return rows.join(gone, F.col("_nd_row") == F.col("_nd_gone"), "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,10 +6,13 @@ hosts with a beta prior fitted to the hosts' rates by moments, and a document
 of a host whose shrunk rate is above ``max_host_rate`` is rejected as well.
 
 Defined results for odd input
-    Null or empty text: no words, so ``base_failed``. A null host is a host of
-    its own. Repeated rows count each time and each get their row back. An
-    empty table gives no rows. Extra columns are not read and not returned; a
-    column named like a result is ignored.
+    Null or empty text: no words, so ``base_failed``. Very long texts are
+    measured whole. A null host is a host of its own. Repeated rows count each
+    time and each get their row back. A rate that equals ``max_host_rate``, and
+    a share that equals its rule's limit, passes. An empty table gives no rows.
+    ``judge`` neither reads nor returns extra columns; one named like a result
+    is ignored. ``keep_good`` returns all (its own start with ``_bad_`` and
+    ``_own_``).
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import WORD, staged
+from .tables import WORD, let, staged, text_key
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -38,11 +41,6 @@ class Rules:
     window: int = 5
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def repeated_words(words: Column, k: int) -> Column:
     """Words inside k-word windows that occur twice or more in ``words``."""
 
@@ -65,13 +63,14 @@ def repeated_words(words: Column, k: int) -> Column:
 
 
 def measured(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """doc_id, host and the rule counts of each row's whole text."""
+    """doc_id, host, a key of the text and the rule counts of each row's whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD))
     words = docs.select("doc_id", F.col(host).alias("host"), text.alias("t")).select("*", F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(1)).alias("w"), lines.alias("l"))
     out = words.select(
         "doc_id",
         "host",
+        text_key(F.col("t")).alias("text_key"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.translate("t", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -113,11 +112,12 @@ def judge(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> Data
 def keep_good(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns.
 
-    A row is rejected by its doc_id and host; rows that share both are measured
-    one by one and all rejected if one is. Only rejected ids travel to the join.
+    What is rejected is a text on a host, so rows that share a doc_id with a
+    rejected one stay. Only the keys of rejected texts travel to the join.
     """
-    bad = judge(docs, host, rules).where(~F.col("kept")).select(F.col("doc_id").alias("_bad_doc"), F.col("host").alias("_bad_host")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_doc"]) & docs[host].eqNullSafe(bad["_bad_host"]), "left_anti")
+    bad = judge(docs, host, rules).where(~F.col("kept")).select(F.col("text_key").alias("_bad_key"), F.col("host").alias("_bad_host")).distinct()
+    own = docs.withColumn("_own_key", text_key(F.coalesce(F.col("text"), F.lit(""))))
+    return own.join(bad, (own["_own_key"] == bad["_bad_key"]) & own[host].eqNullSafe(bad["_bad_host"]), "left_anti").drop("_own_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

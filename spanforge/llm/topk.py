@@ -1,38 +1,43 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-A dimension is a term; its postings are the vectors with a weight other than 0
-there. Vectors are dealt to blocks and each block builds its postings once. The
-query rows, dealt to blocks as well, go through the terms one by one: a term's
-weight in the query scatters its postings, weighted, into the query's dense
-score array over the block. Each block selects the k best of each query by
-partition selection; what the blocks found is merged per query.
+A dimension is a term; its postings are the vectors of a batch with a weight
+other than 0 there. The query rows go to the tasks in waves of at most
+``wave_bytes``, broadcast; in each wave every vector is read once, where it
+lies, and never shuffled. For a query, the terms are gone through one by one:
+its weight scatters the term's postings, weighted, into a dense score array
+over the batch. The k best of a batch are found by partition selection and
+merged into the task's; what the tasks found is merged per query.
 
 Defined results for odd input
     Vectors that are null or hold null, NaN or an infinity take no part, as
     queries and as candidates; empty vectors score 0 with all. Vectors of other
-    lengths meet in the dimensions both have. Rows that repeat a vec_id count
-    once, with the smallest vector. Null vec_ids take no part. Ties go to the
-    smaller vec_id. An empty table gives no rows; other columns are not read.
+    lengths meet in the dimensions both have. Rows that repeat a vec_id are
+    each a candidate of the others; those of a query's own vec_id are not, and
+    query rows that share a vec_id share its k best. Null vec_ids take no part.
+    Ties go to the smaller vec_id. An empty table gives no rows; other columns
+    are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import read
+from .tables import dropped, read, staged
+
+_NONE = -np.iinfo(np.int64).max
 
 
 def whole_weights(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and floor(scale * x) of each component, of the vectors that take part."""
+    """vec_id and floor(scale * x) of each component, of the rows that take part."""
     x = F.col("embedding").cast("array<double>")
     fit = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    one = vectors.where(fit).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * float(scale)).cast("long")).alias("w"))
-    return one.groupBy("vec_id").agg(F.min("w").alias("w"))
+    return vectors.where(fit).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * float(scale)).cast("long")).alias("w"))
 
 
 def postings(rows: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -44,57 +49,70 @@ def postings(rows: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.flatnonzero(dense[:, t]), dense[dense[:, t] != 0, t]) for t in range(width)]
 
 
-def search_block(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows of ``vectors`` for each of ``queries``, in no order."""
-    vectors = vectors.sort_values("vec_id", ignore_index=True)
-    ids, terms, found = vectors["vec_id"].to_numpy(), postings(vectors["w"]), []
-    full = [len(at) == len(ids) for at, _ in terms]
-    for q, weights in zip(queries["vec_id"], queries["w"]):
-        scores = np.zeros(len(ids), np.int64)
-        for t in np.flatnonzero(weights)[: len(terms)] if len(weights) <= len(terms) else np.flatnonzero(weights[: len(terms)]):
+def search_batch(vectors: pd.DataFrame, ids: np.ndarray, weights: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and vec_ids of the k best rows of ``vectors`` for each query, in no order; fewer are filled up with the least score."""
+    vectors = vectors.sort_values("vec_id", ignore_index=True, kind="stable")
+    own, terms = vectors["vec_id"].to_numpy(np.int64), postings(vectors["w"])
+    full = [len(at) == len(own) for at, _ in terms]
+    best, found = np.full((len(ids), k), _NONE), np.full((len(ids), k), -1, np.int64)
+    for n, (q, weight) in enumerate(zip(ids, weights)):
+        scores = np.zeros(len(own), np.int64)
+        for t in np.flatnonzero(weight[: len(terms)]):
             at, w = terms[t]
             if full[t]:
-                scores += weights[t] * w
+                scores += weight[t] * w
             else:
-                scores[at] += weights[t] * w
-        keep = np.flatnonzero(ids != q)
+                scores[at] += weight[t] * w
+        keep = np.flatnonzero(own != q)
         if len(keep) > k:
             s = scores[keep]
             least = -np.partition(-s, k - 1)[k - 1]
             # All above the k-th score, and of those equal to it the smallest ids: ids are sorted.
             above = keep[s > least]
             keep = np.concatenate([above, keep[s == least][: k - len(above)]])
-        found.append(pd.DataFrame({"query_id": q, "vec_id": ids[keep], "score": scores[keep]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        best[n, : len(keep)], found[n, : len(keep)] = scores[keep], own[keep]
+    return best, found
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 8192, query_block: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, wave_bytes: int = 32 << 20) -> DataFrame:
     """query_id, rank, vec_id, score; both inputs as ``whole_weights`` gives them.
 
-    The numbers of blocks come from the counts of rows. Each pair of blocks is
-    one task's group: at most ``block`` vectors and ``query_block`` queries,
-    give or take the luck of hashing.
+    The number of waves comes from the size of the queries, so what is
+    broadcast at once is at most ``wave_bytes``, give or take the luck of
+    hashing, however many queries there are.
     """
-    n, m = vectors.count(), queries.count()
-    rows, cols = max(1, -(-n // block)), max(1, -(-m // query_block))
-    deal = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = vectors.withColumn("r", deal(rows)).withColumn("c", each(cols))
-    right = queries.withColumn("c", deal(cols)).withColumn("r", each(rows))
-
-    def pair(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return search_block(v, q, k)
-
-    best = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(pair, "query_id long, vec_id long, score long")
+    spark = vectors.sparkSession
+    size = queries.agg(F.sum(F.size("w") * 8 + 16)).first()[0] or 0
+    waves, parts = max(1, -(-size // wave_bytes)), []
+    for wave in range(waves):
+        asked = queries.where(F.pmod(F.xxhash64("vec_id", "w"), F.lit(waves)) == wave).select("vec_id", "w").toArrow().combine_chunks()
+        lists = asked.column("w").combine_chunks() if asked.num_rows else None
+        ids = asked.column("vec_id").to_numpy().astype(np.int64)
+        weights = np.split(lists.flatten().to_numpy().astype(np.int64), np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1]) if lists is not None else []
+        shared = spark.sparkContext.broadcast((ids, weights))
+
+        def search(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, weights = shared.value
+            best, found = np.full((len(ids), k), _NONE), np.full((len(ids), k), -1, np.int64)
+            for p in it:
+                more, also = search_batch(p, ids, weights, k)
+                best, found = np.hstack([best, more]), np.hstack([found, also])
+                order = np.lexsort((found, -best), axis=1)[:, :k]
+                best, found = np.take_along_axis(best, order, 1), np.take_along_axis(found, order, 1)
+            real = best != _NONE
+            yield pd.DataFrame({"query_id": np.repeat(ids, k).reshape(-1, k)[real], "vec_id": found[real], "score": best[real]})
+
+        parts.append(staged(vectors.select("vec_id", "w").mapInPandas(search, "query_id long, vec_id long, score long"), "best"))
+        shared.destroy()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from .tables import staged
-
     vectors = staged(whole_weights(read(spark, sf_dir, "embeddings")), "vectors")
-    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+    out = top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+    dropped(vectors)
+    return out
 
 
 SQL = """

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and odd input."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ pytest.importorskip("spanforge.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from spanforge.llm import bpe, catalog, components, labelled, line_dedup, near_dedup, passages, quality_mil, quality_rules, shingles, source_mix, topk, toxicity  # noqa: E402
+from spanforge.llm import bpe, catalog, components, labelled, line_dedup, near_dedup, passages, quality_mil, quality_rules, shingles, source_mix, tables, topk, toxicity  # noqa: E402
 from tests.conftest import rows_of  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -50,6 +51,13 @@ def test_lines_by_host(spark):
     assert got[3] == "own 3" and got[101] == "menu\nother 1" and got[200] == "menu\n\nx"
 
 
+def test_lines_copies_are_one_page(spark):
+    """A page crawled often keeps its lines; what over a tenth of the different pages carry goes."""
+    rows = [(i, "copied a\ncopied b\nmenu", "h") for i in range(40)] + [(100 + i, f"own {i}\nmenu\n{'often' if i < 6 else 'x'}", "h") for i in range(60)]
+    got = {r.doc_id: r.text for r in line_dedup.clean_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0] == "copied a\ncopied b" and got[101] == "own 1\noften"  # 6 of 61 pages
+
+
 # --- near-dedup
 
 
@@ -91,27 +99,55 @@ def test_near_groups_equal_brute_force(spark, percent):
     assert got == brute_groups(rows, percent)
 
 
-def test_near_many_blocks(spark, monkeypatch):
-    """Groups over several blocks lose no link."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    monkeypatch.setattr(near_dedup, "SET_BLOCK", 8)
+@pytest.mark.parametrize("block, set_block, leaders", [(8, 8, 16), (4, 8, 2), (1, 4, 1), (4, 8, 0), (8, 1000, 1)])
+def test_near_many_blocks(spark, monkeypatch, block, set_block, leaders):
+    """Groups over several blocks lose no link, however few the leaders reach."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "SET_BLOCK", set_block)
+    monkeypatch.setattr(near_dedup, "LEADERS", leaders)
     rng = random.Random(3)
     base = [f"v{i}" for i in range(120)]
     rows = []
-    for i in range(60):
+    for i in range(80):
         w = list(base)
         for _ in range(rng.randrange(4)):
             w[rng.randrange(120)] = f"z{rng.randrange(9)}"
         rows.append((i, " ".join(w)))
+    # A chain: each text shares enough with the next only.
+    rows += [(100 + i, " ".join(f"c{k}" for k in range(2 * i, 2 * i + 60))) for i in range(30)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
     assert got == brute_groups(rows, 85)
 
 
+def test_near_reach():
+    assert near_dedup.chunks_for(85) == 12 and near_dedup.chunks_for(80) == 16
+    assert abs(near_dedup.miss_probability(85, 12) - 2.3e-6) < 1e-7 and abs(near_dedup.miss_probability(80, 16) - 3.3e-5) < 1e-6
+    with pytest.raises(ValueError):
+        near_dedup.chunks_for(79)
+
+
+def test_staged_tables_are_dropped(spark):
+    """Only what the result is read from stays."""
+    before = set(os.listdir(tables.shared_dir(spark)))
+    near_dedup.near_groups(spark.createDataFrame([(i, f"a b c d e f {i // 2}") for i in range(8)], "doc_id long, text string")).collect()
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(tables.shared_dir(spark))) - before}
+    assert left == {"shingled", "named"}
+
+
 def test_near_odd(odd, none):
     out = near_dedup.near_groups(odd).collect()
     assert len(out) == len(ODD) and all(r.kept for r in out)
     assert {r.doc_id: r.n_shingles for r in out}[4] == 1 and near_dedup.near_groups(none).count() == 0
-    assert near_dedup.keep_one(odd.withColumn("n", F.lit(1)).withColumn("rep", F.lit(2))).count() == len(ODD)
+    assert near_dedup.keep_one(odd.withColumn("n", F.lit(1)).withColumn("rep", F.lit(2))).count() == len(ODD) - 1  # one row stands twice
+
+
+def test_keep_one_takes_rows(spark):
+    """Rows are judged by themselves where doc_ids repeat or are null; one row of each group stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(0, a, "x"), (1, a, "y"), (1, b, "y"), (2, b + " more", "z"), (3, c, "x"), (3, c, "x"), (4, c, "y"), (None, c, "y"), (None, "", "n"), (5, None, "n")]
+    out = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    texts = sorted((r.text or "")[:2] for r in out)
+    assert texts == ["", "", "a0", "b0", "c0"]
 
 
 def test_signature_reach():
@@ -141,16 +177,16 @@ def test_shingle_words_are_bytes_split():
 
 def test_topk_odd(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, -0.5]), (50, [0.5, 0.25]), (50, [0.5, 0.25]), (3, None), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, []), (8, [1.0, -0.5]), (9, [0.001, 0.0, 9.0]), (None, [1.0, 1.0])]
+    rows = [(0, [1.0, -0.5]), (50, [0.5, 0.25]), (50, [0.5, 0.25]), (50, [0.25, -1.0]), (3, None), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, []), (8, [1.0, -0.5]), (8, [1.0, -0.5]), (8, [2.0, 0.5]), (9, [0.001, 0.0, 9.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("w", F.lit(1)).withColumn("rank", F.lit(1))
     v = topk.whole_weights(df)
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id % 50 = 0"), 5, 2, 1).collect())
-    w = {i: [int(np.floor(256 * np.float64(np.float32(x)))) for x in e] for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)}
+    w = [(i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     want = []
     for q in (0, 50):
-        s = sorted((-sum(a * b for a, b in zip(w[q], w[c])), c) for c in w if c != q)[:5]
+        s = sorted((-sum(a * b for a, b in zip(x, y)), c) for i, x in w if i == q for c, y in w if c != q)[:5]
         want += [(q, k + 1, c, -x) for k, (x, c) in enumerate(s)]
-    assert got == sorted(want)
+    for wave in (32 << 20, 40):
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id % 50 = 0"), 5, wave).collect()) == sorted(want)
     assert topk.top_k(v.where("vec_id < 0"), v.where("vec_id < 0")).count() == 0
 
 
@@ -386,6 +422,13 @@ def test_rules_odd(odd, none):
     assert quality_rules.keep_good(odd).columns == odd.columns
 
 
+def test_keep_good_takes_rows(spark):
+    good = "a fine text with more than ten words in it for sure "
+    rows = [(1, good, "a"), (1, "short", "a"), (None, "short", "a"), (None, good + "two", "a"), (3, None, "a")] + [(10 + i, good + str(i), "a") for i in range(9)]
+    out = quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, *range(10, 19)] and out.columns == ["doc_id", "text", "source"]
+
+
 def test_host_verdict(spark):
     good = "a fine text with more than ten words in it for sure " * 1
     rows = [(i, "short", "bad") for i in range(40)] + [(40, good, "bad")] + [(100 + i, good, "fine") for i in range(40)] + [(200, "short", "fine"), (300, good, "new")]
