@@ -216,7 +216,7 @@ def test_passages_planted(spark):
     texts = dict(rows)
     got = found.collect()
     exact = {(r.doc_id, r.of_doc_id) for r in got if " ".join(shared[5:65]) in texts[r.doc_id][r.start_char : r.end_char]}
-    assert exact == {(i, 0) for i in range(3, 30, 3)}
+    assert exact >= {(i, 0) for i in range(3, 30, 3)} and {d for d, _ in exact} == set(range(3, 30, 3))  # an older one with more of the same stands beside it
     whole = {i: set() for i in range(6, 30, 5)}
     for r in got:
         if r.doc_id in whole and r.of_doc_id % 5 == 1:
