@@ -49,4 +49,5 @@ def components(edges: DataFrame) -> DataFrame:
             dropped(now)
             dropped(least)
             now = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    both = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))
+    return now.select(F.explode(both).alias("e")).select("e.*").distinct()

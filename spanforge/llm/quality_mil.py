@@ -11,8 +11,9 @@ Defined results for odd input
     Null, empty and wordless texts are one passage without content and scored
     as such. Repeated rows each get their score. With no labelled rows, or one
     class only, every score is the share of label 1. An empty table gives no
-    rows. Very long texts are scored whole, ``STEP`` passages at a time. Other
-    columns of ``documents`` are never read.
+    rows. Very long texts are scored whole, ``STEP`` passages at a time. A score
+    that equals the threshold is predicted 1; rows to learn from that tie in
+    their hash go by doc_id. Other columns of ``documents`` are never read.
 """
 
 from __future__ import annotations
@@ -77,6 +78,18 @@ def forward(m: dict, x: np.ndarray, first: np.ndarray) -> tuple:
     return h, t, g, a, sizes, z, 1 / (1 + np.exp(-np.clip(z @ m["o"] + m["b"], -30, 30)))
 
 
+def gradient(m: dict, x: np.ndarray, begin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+    """Of the mean of ``weight`` times the log loss over the bags of x that begin at ``begin``."""
+    h, th, g, a, sizes, z, p = forward(m, x, begin)
+    e = weight * (p - y) / len(y)
+    dz = np.repeat(e[:, None] * m["o"], sizes, axis=0)
+    da = (dz * h).sum(1)
+    da = a * (da - np.repeat(np.add.reduceat(a * da, begin), sizes))
+    dt, dg = da[:, None] * m["a"] * g * (1 - th * th), da[:, None] * m["a"] * th * g * (1 - g)
+    dh = (a[:, None] * dz + dt @ m["V"].T + dg @ m["U"].T) * (1 - h * h)
+    return {"W": x.T @ dh, "c": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (th * g).T @ da, "o": z.T @ e, "b": e.sum()}
+
+
 def train(texts: list[str], labels: list[int], share: float = 0.5, epochs: int = 30, rate: float = 0.01, penalty: float = 1e-4, batch: int = 64) -> dict:
     odds = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     rng, d = np.random.default_rng(5), TRIGRAMS + SHAPE
@@ -91,14 +104,7 @@ def train(texts: list[str], labels: list[int], share: float = 0.5, epochs: int =
         for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
             x = np.concatenate([bags[i] for i in at]).astype(float)
             begin = np.concatenate([[0], np.cumsum([len(bags[i]) for i in at])[:-1]])
-            h, th, g, a, sizes, z, p = forward(m, x, begin)
-            e = weight[at] * (p - y[at]) / len(at)
-            dz = np.repeat(e[:, None] * m["o"], sizes, axis=0)
-            da = (dz * h).sum(1)
-            da = a * (da - np.repeat(np.add.reduceat(a * da, begin), sizes))
-            dt, dg = da[:, None] * m["a"] * g * (1 - th * th), da[:, None] * m["a"] * th * g * (1 - g)
-            dh = (a[:, None] * dz + dt @ m["V"].T + dg @ m["U"].T) * (1 - h * h)
-            grad = {"W": x.T @ dh, "c": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (th * g).T @ da, "o": z.T @ e, "b": e.sum()}
+            grad = gradient(m, x, begin, y[at], weight[at])
             t += 1
             for k in m:
                 q = grad[k] + penalty * m[k]

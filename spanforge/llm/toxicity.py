@@ -10,7 +10,9 @@ Defined results for odd input
     Null and empty texts are scored like any other, by the intercept. Repeated
     rows each get their score. With no labelled rows, or one class only, every
     score is the share of toxic rows. An empty table gives no rows. Very long
-    texts are scored whole. Other columns of ``documents`` are never read.
+    texts are scored whole. A score that equals the threshold is predicted 1;
+    rows to learn from that tie in their hash go by doc_id. Other columns of
+    ``documents`` are never read.
 """
 
 from __future__ import annotations
@@ -47,6 +49,13 @@ def grams(text: str) -> np.ndarray:
     return ids[_LAST[ids] == place]
 
 
+def log_count_ratios(ids: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """For each feature the log of its smoothed share in toxic documents over that in others; one entry for each feature of each document."""
+    p = 1 + np.bincount(ids[toxic], minlength=1 << BITS)
+    q = 1 + np.bincount(ids[~toxic], minlength=1 << BITS)
+    return np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
+
+
 def train(texts: list[str], labels: list[int], share: float = 0.5, rounds: int = 80, penalty: float = 1e-4, rate: float = 0.05) -> dict:
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
@@ -54,10 +63,7 @@ def train(texts: list[str], labels: list[int], share: float = 0.5, rounds: int =
     rows = [grams(t) for t in texts]
     sizes = np.array([len(r) for r in rows])
     ids, doc = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-    toxic = y[doc] > 0
-    p = 1 + np.bincount(ids[toxic], minlength=1 << BITS)
-    q = 1 + np.bincount(ids[~toxic], minlength=1 << BITS)
-    r = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
+    r = log_count_ratios(ids, y[doc] > 0)
     w, b, m, s, mb, sb = np.ones(1 << BITS, np.float32) * 0.01, 0.0, 0.0, 0.0, 0.0, 0.0
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     for t in range(1, rounds + 1):

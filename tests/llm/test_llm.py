@@ -356,6 +356,83 @@ def test_learning_rows_are_of_the_fold(spark):
     assert len(got) == 40 and all(zlib.crc32(r.text[1:].encode()) % 4 != 2 for r in got) and 0.4 < share < 0.6
 
 
+def plain_grams(text):
+    """The hashed n-grams by loops over characters."""
+    chars, out = [ord(c) for c in f" {' '.join(text.lower().split())} "], set()
+    for n in toxicity.SIZES:
+        for i in range(len(chars) - n + 1):
+            h = n
+            for j in range(n):
+                h = (h + chars[i + j] * int(toxicity._MULTIPLY[n, j])) % 2**32
+            h ^= h >> 15
+            h = h * 0x2C1B3C6D % 2**32
+            h ^= h >> 12
+            out.add((h * 0x297A2D39 % 2**32) >> (32 - toxicity.BITS))
+    return out
+
+
+def test_toxicity_equals_plain_loops():
+    """Features, log-count ratios and scores, counted one by one."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcé \n👍") for _ in range(rng.randrange(0, 60))) for _ in range(40)]
+    labels = [i % 3 == 0 for i in range(40)]
+    sets = [plain_grams(t) for t in texts]
+    assert [set(toxicity.grams(t).tolist()) for t in texts] == sets
+    counts = {True: {}, False: {}}
+    for s, y in zip(sets, labels):
+        for f in s:
+            counts[y][f] = counts[y].get(f, 0) + 1
+    total = {y: (1 << toxicity.BITS) + sum(c.values()) for y, c in counts.items()}
+    ids = np.concatenate([toxicity.grams(t) for t in texts])
+    r = toxicity.log_count_ratios(ids, np.repeat(labels, [len(s) for s in sets]))
+    for f in set().union(*sets) | {1, 2, 3}:
+        want = np.log((1 + counts[True].get(f, 0)) / total[True]) - np.log((1 + counts[False].get(f, 0)) / total[False])
+        assert abs(r[f] - want) < 1e-5
+    model = toxicity.train(texts, [int(y) for y in labels], 0.3)
+    for t, s, got in zip(texts, sets, toxicity.score(model, texts)):
+        assert abs(got - 1 / (1 + np.exp(-(sum(float(model["v"][f]) for f in s) + model["b"])))) < 1e-6
+    assert not model["v"][r == 0].any()  # features without evidence have no say
+
+
+def test_attention_equals_plain_loops():
+    """Scores by loops over passages, and the gradient by small steps."""
+    rng = np.random.default_rng(4)
+    d, hid, gate = quality_mil.TRIGRAMS + quality_mil.SHAPE, 5, 3
+    m = {"W": rng.normal(0, 0.3, (d, hid)), "c": rng.normal(0, 0.3, hid), "V": rng.normal(0, 0.5, (hid, gate)), "U": rng.normal(0, 0.5, (hid, gate)), "a": rng.normal(0, 0.5, gate), "o": rng.normal(0, 0.5, hid), "b": np.array(0.2)}
+    sizes, y, weight = [1, 4, 2], np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    x, begin = rng.normal(0, 1, (7, d)), np.array([0, 1, 5])
+
+    def plain(m):
+        out, at = [], 0
+        for n in sizes:
+            codes = [np.tanh(m["c"] + sum(x[k, i] * m["W"][i] for i in range(d))) for k in range(at, at + n)]
+            raw = [sum(m["a"][j] * np.tanh(h @ m["V"][:, j]) / (1 + np.exp(-(h @ m["U"][:, j]))) for j in range(gate)) for h in codes]
+            att = np.exp(raw) / np.exp(raw).sum()
+            out.append(1 / (1 + np.exp(-(sum(w * h for w, h in zip(att, codes)) @ m["o"] + m["b"]))))
+            at += n
+        return np.array(out)
+
+    loss = lambda m: float(np.mean(weight * -(y * np.log(plain(m)) + (1 - y) * np.log(1 - plain(m)))))
+    assert np.allclose(quality_mil.forward(m, x, begin)[-1], plain(m))
+    grad = quality_mil.gradient(m, x, begin, y, weight)
+    for k in m:
+        for at in list(np.ndindex(m[k].shape))[:: 1 if m[k].size < 20 else 97]:
+            up, down = {**m, k: m[k].copy()}, {**m, k: m[k].copy()}
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - grad[k][at]) < 1e-7
+
+
+@pytest.mark.parametrize("op", [toxicity.toxicity, quality_mil.quality])
+def test_repeated_ids_each_get_their_score(spark, op):
+    """Rows that share a labelled id are all learnt from and each scored by their own text."""
+    rows = [(i, f"{'bad awful' if i % 2 else 'fine good'} words {i} here") for i in range(60)] + [(7, "bad awful once more"), (7, "bad awful once more"), (7, None)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(50)] + [(7, 1, 1)], "doc_id long, quality int, toxic int")
+    out = op(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    mine = sorted(r.score for r in out if r.doc_id == 7)
+    assert len(out) == len(rows) and len(mine) == 4 and len(set(mine)) == 3
+
+
 def test_grams_are_distinct():
     ids = toxicity.grams("aaaa aaaa aaaa")
     assert len(ids) == len(set(ids.tolist())) and len(toxicity.grams("")) == 0
@@ -383,6 +460,12 @@ def test_bpe_equals_library(enc, monkeypatch):
     assert enc.encode_many(texts) == plain(enc, texts)
 
 
+def test_bpe_refuses_other_vocabularies():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    with pytest.raises(ValueError):
+        bpe.Encoder(tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_bpe_reuses_chunks(enc):
     passage = " ".join(f"word{i} of a shared passage" for i in range(2000))
     enc.encode_many([passage])
@@ -439,6 +522,32 @@ def test_host_verdict(spark):
 # --- pipeline
 
 
+def test_pipeline_stages_equal_sql(spark, sf_dir):
+    """Each stage but the last against its operator's SQL over what the stage before it kept."""
+    duckdb = pytest.importorskip("duckdb")
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = lambda rows: sorted((r[0], r[1]) for r in rows)
+    wanted = {
+        "quality_rules": lambda con: con.execute(f"SELECT doc_id, text FROM documents SEMI JOIN (SELECT doc_id FROM ({quality_rules.SQL}) WHERE kept) USING (doc_id)").fetchall(),
+        "line_dedup": lambda con: con.execute(f"SELECT doc_id, text FROM ({line_dedup.SQL})").fetchall(),
+        "near_dedup": None,
+        "source_mix": lambda con: con.execute(f"SELECT d.doc_id, d.text FROM documents d JOIN (SELECT doc_id, CAST(taken / size AS INT) AS n FROM ({source_mix.SQL}) WHERE size > 0) USING (doc_id), range(0, 3) AS r(i) WHERE i < n").fetchall(),
+    }
+    for name, stage in pipeline.STAGES[:-1]:
+        con = duckdb.connect()
+        frame = docs.toPandas()
+        con.register("documents", frame)
+        out = stage(spark, docs, sf_dir).cache()
+        got = text(out.select("doc_id", "text").collect())
+        if wanted[name]:
+            assert got == text(wanted[name](con)), name
+        else:
+            groups = brute_groups(list(zip(frame["doc_id"], frame["text"])), 80)
+            assert len(got) == len({c for _, c in groups.values()}) == len({groups[i][1] for i, _ in got})
+        docs = out
+
+
 def test_pipeline(spark, sf_dir, none):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
