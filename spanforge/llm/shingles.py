@@ -57,6 +57,16 @@ def grams(word: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
+def long_grams(word: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k-word windows, from running sums: for large k. Fewer words have none."""
+    n = len(word)
+    if n < k:
+        return word[:0]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(word * _powers("step", _STEP, n), out=sums[1:])
+    return mixed((sums[k:] - sums[:-k]) * _powers("back", _BACK, n - k + 1))
+
+
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     """The distinct k-word shingles of a text, sorted."""
     return np.unique(grams(words(text.encode())[0], k)) if text else np.zeros(0, np.uint64)
