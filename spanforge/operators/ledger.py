@@ -143,10 +143,25 @@ def claim_search_text(claims: DataFrame, longest: int = 1400) -> DataFrame:
     return claims.select("id", F.substring(F.regexp_replace(F.lower(F.concat_ws(" | ", *parts)), r"\s+", " "), 1, longest).alias("search_text"))
 
 
-def facts_known_as_of(calls: DataFrame, facts: DataFrame, most: int = 20) -> DataFrame:
-    """Per call and project the newest facts true and observed by the call's time, none from the call itself."""
-    f = facts.select("fact_id", "project_id", "as_of_at", "observed_at", "fact_kind", F.col("interaction_id").alias("_from"))
-    known = calls.where("project_id IS NOT NULL").select("interaction_id", "project_id", "event_at_utc").join(f, "project_id").where((F.col("as_of_at") <= F.col("event_at_utc")) & (F.col("observed_at") <= F.col("event_at_utc")) & ~F.col("_from").eqNullSafe(F.col("interaction_id")))
+def facts_known_as_of(calls: DataFrame, facts: DataFrame, most: int = 20, bin_days: int = 30) -> DataFrame:
+    """Per call and project the newest facts true and observed by the call's time, none from the call itself.
+
+    A fact is of use from the time it is known until ``most`` newer ones are,
+    and as many more as a call has of its own. Facts and calls meet in the
+    ``bin_days`` of that time, so a call meets about as many facts as it needs,
+    not all of its project.
+    """
+    f = facts.where("project_id IS NOT NULL AND as_of_at IS NOT NULL AND observed_at IS NOT NULL").select("fact_id", "project_id", "as_of_at", "observed_at", "fact_kind", F.col("interaction_id").alias("_from"), F.greatest("as_of_at", "observed_at").alias("_known"))
+    own = f.where("_from IS NOT NULL").groupBy("project_id", "_from").count().agg(F.max("count")).first()[0] or 0
+    asked = calls.where("project_id IS NOT NULL AND event_at_utc IS NOT NULL").select("interaction_id", "project_id", "event_at_utc")
+    last = asked.agg(F.max("event_at_utc")).first()[0]
+    newer = Window.partitionBy("project_id").orderBy("as_of_at", "observed_at", F.desc("fact_id")).rowsBetween(1, most + own)
+    f = f.withColumn("_until", F.when(F.count("*").over(newer) == most + own, F.max("_known").over(newer)))
+    span = lambda at: F.floor(F.unix_seconds(at.cast("timestamp")) / (86400 * bin_days))
+    ends = F.least(F.coalesce("_until", F.lit(last)), F.lit(last))
+    filed = f.where((F.col("_known") <= F.lit(last)) & (F.col("_until").isNull() | (F.col("_until") > F.col("_known")))).withColumn("_bin", F.explode(F.sequence(span(F.col("_known")), span(ends))))
+    in_time = (F.col("_known") <= F.col("event_at_utc")) & (F.col("_until").isNull() | (F.col("event_at_utc") < F.col("_until"))) & ~F.col("_from").eqNullSafe(F.col("interaction_id"))
+    known = asked.withColumn("_bin", span(F.col("event_at_utc"))).join(filed, ["project_id", "_bin"]).where(in_time)
     w = Window.partitionBy("interaction_id", "project_id").orderBy(F.desc("as_of_at"), F.desc("observed_at"), "fact_id")
     return known.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("interaction_id", "project_id", "fact_id", "fact_kind", "as_of_at", "rank")
 
@@ -157,12 +172,21 @@ def facts_time_relation(facts: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def facts_window_counts(calls: DataFrame, facts: DataFrame, window: int = 90) -> DataFrame:
-    """Per call of a project: its facts in the window before it, older ones, and later ones."""
-    f = facts.select("project_id", "as_of_at")
-    rows = calls.where("project_id IS NOT NULL").select("interaction_id", "project_id", "event_at_utc").join(f, "project_id")
-    before = F.col("as_of_at") <= F.col("event_at_utc")
-    inside = before & (F.col("as_of_at") > F.col("event_at_utc") - days(window))
-    return rows.groupBy("interaction_id").agg(F.count_if(inside).alias("in_window"), F.count_if(before & ~inside).alias("before_window"), F.count_if(~before).alias("post_hoc"))
+    """Per call of a project with facts: its facts in the window before it, older ones, and later ones.
+
+    Facts are added up along each project's time once; calls read the sums at
+    their own time and at the window's begin.
+    """
+    asked = calls.where("project_id IS NOT NULL").select("interaction_id", "project_id", "event_at_utc", (F.col("event_at_utc") - days(window)).alias("_begin"))
+    dated = facts.where("as_of_at IS NOT NULL").groupBy("project_id", F.col("as_of_at").cast("timestamp_ntz").alias("at")).agg(F.count("*").alias("n"))
+    points = asked.select("project_id", F.explode(F.array(F.col("event_at_utc").cast("timestamp_ntz"), F.col("_begin").cast("timestamp_ntz"))).alias("at")).distinct().withColumn("n", F.lit(0).cast("long"))
+    upto = Window.partitionBy("project_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = dated.unionByName(points).withColumn("upto", F.sum("n").over(upto)).groupBy("project_id", "at").agg(F.max("upto").alias("upto"))
+    total = facts.groupBy("project_id").agg(F.count("as_of_at").alias("all"))
+    at = lambda name: sums.select("project_id", F.col("at").alias(f"_{name}"), F.col("upto").alias(name))
+    rows = asked.select("interaction_id", "project_id", F.col("event_at_utc").cast("timestamp_ntz").alias("_now"), F.col("_begin").cast("timestamp_ntz").alias("_then"))
+    rows = rows.join(at("now"), ["project_id", "_now"]).join(at("then"), ["project_id", "_then"]).join(total, "project_id")
+    return rows.groupBy("interaction_id").agg(F.sum(F.col("now") - F.col("then")).alias("in_window"), F.sum("then").alias("before_window"), F.sum(F.col("all") - F.col("now")).alias("post_hoc"))
 
 
 def facts_missing_provenance(facts: DataFrame) -> DataFrame:

@@ -19,9 +19,11 @@ from ..sources.ingest import ingest_call_events
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of our own where the setting is absent."""
+    """The cluster's shared folder, or one of our own on a local master without the setting."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spanforge-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
