@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, line_dedup, near_dedup, passages, quality_mil, quality_rules, source_mix, topk, toxicity
+from . import bpe, centroids, html_text, line_dedup, near_dedup, passages, quality_mil, quality_rules, source_mix, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_mil": quality_mil.query,
     "op9_bpe": bpe.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_centroids": centroids.query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op3_exact_topk": topk.SQL,
     "op6_source_mix": source_mix.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op11_centroids": centroids.SQL,
 }
