@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, divergence, html_text, line_dedup, near_dedup, passages, quality_mil, quality_rules, source_mix, topk, toxicity
+from . import bpe, centroids, divergence, html_text, line_dedup, near_dedup, passages, pii, quality_mil, quality_rules, source_mix, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bpe": bpe.query,
     "op10_quality_rules": quality_rules.query,
     "op11_centroids": centroids.query,
+    "op12_personal_data": pii.query,
     "op13_divergence": divergence.query,
 }
 
