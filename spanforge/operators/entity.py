@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.basics import at, days, latest
+from ..functions.phonetic import with_codes
 from ..functions.text import normalize_phone
 from ..plans.match import find_terms, phrase_key, tokens, trigram_join
 
@@ -62,29 +65,68 @@ def match_contacts_in_text(texts: DataFrame, contacts: DataFrame, key: str) -> D
     return found.groupBy(key, "id").agg(F.max(F.when(F.col("kind") == "name", 1.0).otherwise(0.9)).alias("confidence"))
 
 
-def resolve_speakers(labels: DataFrame, contacts: DataFrame, affinity: DataFrame) -> DataFrame:
-    """The best contact of each speaker label by a ladder of keys.
+#: The quality of each way in which a label can name a contact.
+SPEAKER_QUALITY = {"exact_name": 100, "exact_alias": 95, "exact_full_name": 90, "phonetic_first_exact_last": 80, "phonetic_both": 75, "surname_phonetic": 72, "first_name_prefix": 65}
+
+
+def resolve_speakers(labels: DataFrame, contacts: DataFrame, affinity: DataFrame, either: bool = False) -> DataFrame:
+    """label, project_id if there is one, contact_id, quality, match_type, score: the best contact of each speaker label.
+
+    A label is the whole name or an alias, has its first two words, or sounds
+    like them by Double Metaphone (words of four letters or more; with
+    ``either`` the secondary codes count too, else primary ones), or is one
+    word that the name begins with. A contact's affinity to the label's project
+    counts ten times on top; ties go to internal contacts, then the smaller id.
+    A word without letters has no sound.
 
-    100 the name, 95 an alias, 90 first and last word, 80 first word by sound
-    and last as is, 75 both by sound, 72 first as is and last by sound, 65 the
-    first name alone; plus ten times the contact's best affinity up to 1.
-    Internal contacts win ties. Each rung is an equi-join.
+    Every way is an equi-join. Of the contacts that share a key only the best
+    is joined, and the best of those that know the label's project, so output
+    grows with labels, however common a name or sound is.
     """
-    part = lambda c: F.split(F.lower(F.trim(c)), r"\s+")
-    first, last = lambda w: F.get(w, F.lit(0)), lambda w: F.when(F.size(w) > 1, F.element_at(w, -1))
-    ask = labels.select("label").distinct().withColumn("w", part(F.col("label"))).select("label", F.lower(F.trim("label")).alias("full"), first(F.col("w")).alias("f"), last(F.col("w")).alias("l"))
-    have = contacts.select("id", F.lower(F.trim("name")).alias("full"), part(F.col("name")).alias("w")).select("id", "full", first(F.col("w")).alias("f"), last(F.col("w")).alias("l"))
-    sound = lambda df: df.withColumn("fs", F.soundex("f")).withColumn("ls", F.soundex("l"))
-    ask, have = sound(ask), sound(have)
-    rungs = [(100, ["full"]), (90, ["f", "l"]), (80, ["fs", "l"]), (75, ["fs", "ls"]), (72, ["f", "ls"])]
-    rows = ask.join(alias_dictionary(contacts).where("kind = 'alias'").select("id", F.col("term").alias("full")), "full").select("label", "id", F.lit(95).alias("quality"))
-    for q, on in rungs:
-        rows = rows.unionByName(ask.join(have.select("id", *on), on).select("label", "id", F.lit(q).alias("quality")))
-    rows = rows.unionByName(ask.where("l IS NULL").join(have.select("id", "f"), "f").select("label", "id", F.lit(65).alias("quality")))
-    strength = affinity.groupBy(F.col("contact_id").alias("id")).agg(F.least(F.lit(1.0), F.max("weight")).alias("_a"))
-    best = rows.groupBy("label", "id").agg(F.max("quality").alias("quality")).join(strength, "id", "left").join(contacts.select("id", "is_internal"), "id")
-    best = best.withColumn("score", F.col("quality") + 10 * F.coalesce("_a", F.lit(0.0)))
-    return latest(best, ["label"], F.desc("score"), F.desc("is_internal"), F.col("id")).select("label", F.col("id").alias("contact_id"), "quality", "score")
+    known = "project_id" in labels.columns
+    lower = lambda c: F.lower(F.trim(c))
+    word = lambda c, i: F.get(F.split(F.lower(c), " "), F.lit(i))
+    ask = labels.where(F.trim("label") != "").select("label", (F.col("project_id") if known else F.lit(None).cast("string")).alias("project_id")).distinct()
+    ask = ask.select("label", "project_id", lower(F.col("label")).alias("full"), word(F.col("label"), 0).alias("f"), F.nullif(word(F.col("label"), 1), F.lit("")).alias("l"))
+    have = contacts.where("name IS NOT NULL").select("id", "is_internal", lower(F.col("name")).alias("full"), word(F.col("name"), 0).alias("f"), F.nullif(word(F.col("name"), 1), F.lit("")).alias("l"))
+
+    def sounds(df: DataFrame) -> DataFrame:
+        for c in ("f", "l"):
+            df = with_codes(df, c, f"{c}1", f"{c}2")
+            several = F.array_distinct(F.array(f"{c}1", f"{c}2")) if either else F.array(f"{c}1")
+            df = df.withColumn(f"{c}s", F.filter(several, lambda x: x != "")).drop(f"{c}1", f"{c}2")
+        return df
+
+    ask, have = sounds(ask), sounds(have)
+    one, none = lambda c: F.array(F.col(c)), F.array(F.lit(""))
+    long = lambda c: F.length(c) >= 4
+    begins = F.when(long("f"), F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.length("f"))), lambda n: F.left("f", n)))
+    # The way, when a label can go it, and what both sides must share: one value of each of two lists.
+    ways = [
+        ("exact_name", F.lit(True), one("full"), none, one("full"), none),
+        ("exact_full_name", F.col("l").isNotNull(), one("f"), one("l"), one("f"), one("l")),
+        ("phonetic_first_exact_last", long("f"), F.col("fs"), one("l"), F.col("fs"), one("l")),
+        ("phonetic_both", long("f") & long("l"), F.col("fs"), F.col("ls"), F.col("fs"), F.col("ls")),
+        ("surname_phonetic", long("l"), one("f"), F.col("ls"), one("f"), F.col("ls")),
+        ("first_name_prefix", long("f") & F.col("l").isNull(), one("f"), none, begins, none),
+    ]
+    keyed = lambda df, a, b, *more: df.withColumn("k1", F.explode(a)).withColumn("k2", F.explode(b)).select("way", "k1", "k2", *more).where("k1 IS NOT NULL AND k2 IS NOT NULL")
+    wants = [keyed(ask.where(when).withColumn("way", F.lit(way)), a, b, "label", "project_id") for way, when, a, b, _, _ in ways]
+    wants.append(ask.select(F.lit("exact_alias").alias("way"), F.col("full").alias("k1"), F.lit("").alias("k2"), "label", "project_id"))
+    gives = [keyed(have.withColumn("way", F.lit(way)), a, b, "id", "is_internal") for way, _, _, _, a, b in ways]
+    gives.append(alias_dictionary(contacts).where("kind = 'alias'").join(contacts.select("id", "is_internal"), "id").select(F.lit("exact_alias").alias("way"), F.col("term").alias("k1"), F.lit("").alias("k2"), "id", "is_internal"))
+    wanted, given = reduce(DataFrame.unionByName, wants).distinct(), reduce(DataFrame.unionByName, gives).distinct()
+
+    key = ["way", "k1", "k2"]
+    rows = wanted.join(latest(given, key, F.desc("is_internal"), F.col("id")), key).withColumn("boost", F.lit(0.0))
+    if known:
+        edges = affinity.groupBy(F.col("contact_id").alias("id"), "project_id").agg((10 * F.max("weight")).alias("boost"))
+        near = latest(given.join(edges, "id"), [*key, "project_id"], F.desc("boost"), F.desc("is_internal"), F.col("id"))
+        rows = rows.unionByName(wanted.join(near, [*key, "project_id"]))
+    quality = F.element_at(F.create_map(*(F.lit(x) for kv in SPEAKER_QUALITY.items() for x in kv)), F.col("way"))
+    rows = rows.withColumn("quality", quality).withColumn("score", F.col("quality") + F.col("boost"))
+    best = latest(rows, ["label", "project_id"], F.desc("score"), F.desc("is_internal"), F.col("id"), F.desc("quality"))
+    return best.select("label", *(["project_id"] if known else []), F.col("id").alias("contact_id"), "quality", F.col("way").alias("match_type"), "score")
 
 
 def extract_claim_speakers(claims: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -109,27 +151,6 @@ def fuzzy_alias_matches(terms: DataFrame, aliases: DataFrame, least: float = 0.4
     return near.select("term", "alias", score.alias("score")).where(F.col("score") >= least).unionByName(short)
 
 
-def scan_aliases(texts: DataFrame, aliases: DataFrame, key: str, least: float = 0.4, cognates: tuple[tuple[str, str], ...] = ()) -> DataFrame:
-    """key, project_id, alias, score, how: whole phrases 1.0; single words by their vocabulary's trigrams.
-
-    The distinct words of all texts meet the one-word aliases, not the texts;
-    similar pairs are then joined back. A word's score is 0.5 at the threshold
-    and grows to 0.9; the possessive and plural s is cut first, for 0.95 of it.
-    ``cognates`` are (word, alias) pairs that only look alike.
-    """
-    exact = find_terms(texts, aliases.select("project_id", "alias"), key, term="alias").select(key, "project_id", "alias", F.lit(1.0).alias("score"), F.lit("phrase").alias("how"))
-    words = texts.select(key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).where(F.length("word") > 3)
-    single = aliases.select("project_id", "alias", phrase_key(F.col("alias")).alias("one")).where(~F.contains("one", F.lit(" ")) & (F.length("one") > 3))
-    vocabulary = words.select("word").distinct().withColumn("stem", F.regexp_replace("word", "s$", ""))
-    near = trigram_join(vocabulary.select("stem"), single.select("one"), "stem", "one", least)
-    for w, a in cognates:
-        near = near.where(~((F.col("stem") == w) & (F.col("one") == a)))
-    scored = near.select("stem", "one", (F.least(F.lit(1.0), 0.5 + (F.col("similarity") - least) * 0.4 / 0.7)).alias("score"))
-    fuzzy = vocabulary.join(scored, "stem").withColumn("score", F.when(F.col("word") == F.col("stem"), F.col("score")).otherwise(0.95 * F.col("score")))
-    found = words.join(fuzzy.where("word <> one").select("word", "one", "score"), "word").join(single, "one").select(key, "project_id", "alias", "score", F.lit("word").alias("how"))
-    return latest(exact.unionByName(found), [key, "project_id", "alias"], F.desc("score"), F.col("how"))
-
-
 def expand_from_speakers(speakers: DataFrame, contacts: DataFrame, affinity: DataFrame) -> DataFrame:
     """Projects of resolved speakers: client 0.95, internal 0.7, other 0.6; the best per call and project."""
     base = F.when(F.col("contact_type") == "client", 0.95).when(F.col("is_internal"), 0.7).otherwise(0.6)

@@ -6,6 +6,8 @@ key both sides have, and verifies afterwards where the key is only necessary.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,19 +50,52 @@ def find_terms(texts: DataFrame, terms: DataFrame, key: str, longest: int | None
     return found.groupBy(key, *terms.columns).agg(F.min("_at").alias("first_token"), F.count("*").alias("hits"))
 
 
-def trigrams(word: Column) -> Column:
-    """Distinct trigrams of a word with two spaces before and one after it."""
-    padded = F.concat(F.lit("  "), F.lower(word), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+def trigrams(text: Column) -> Column:
+    """Distinct trigrams of a text with two spaces before and one after it."""
+    return F.array_distinct(F.regexp_extract_all(F.concat(F.lit("  "), F.lower(text), F.lit(" ")), F.lit(r"(?s)(?=(...))"), F.lit(1)))
+
+
+def word_trigrams(text: Column) -> Column:
+    """Distinct trigrams of the words of a text, each with two spaces before and one after it."""
+    padded = F.concat(F.lit("  "), F.regexp_replace(F.trim(F.lower(text)), r"\s+", "   "), F.lit(" "))
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit(r"(?=(  \S| \S[\S ]|\S\S[\S ]))"), F.lit(1)))
+
+
+def similar(left: DataFrame, right: DataFrame, a: str, b: str, least: float, sets: Callable[[Column], Column] = word_trigrams, common: int = 24) -> DataFrame:
+    """a, b, similarity of the pairs of distinct texts whose trigrams' Jaccard index is ``least`` or more.
+
+    Sets are put in one order, in which the ``common`` trigrams that most sets
+    of the right side have come last. Two sets that are similar enough share a
+    trigram among the first few of both, so only these are joined, and only
+    where the sizes and 64 bits of hashed trigrams allow the index; the pairs
+    that are left are counted on full sets. The frequent trigrams, which most
+    words have, are hardly ever joined.
+    """
+    grams = lambda df, c: df.where(F.col(c).isNotNull()).select(c).distinct().withColumn("_g", sets(F.col(c))).where(F.size("_g") > 0)
+    x, y = grams(left, a), grams(right, b)
+    often = [r[0] for r in y.select(F.explode("_g").alias("g")).groupBy("g").count().orderBy(F.desc("count"), "g").limit(common).collect()]
+    last = F.lit(often) if often else F.array().cast("array<string>")
+
+    def filed(df: DataFrame, c: str, to: str) -> DataFrame:
+        """Each set under the trigrams of its beginning: one more than it may lose."""
+        order = F.concat(F.sort_array(F.array_except("_g", last)), F.sort_array(F.array_intersect("_g", last)))
+        size = F.size("_g")
+        head = F.slice(order, F.lit(1), (size - F.ceil(size * F.lit(least) - 1e-9) + 1).cast("int"))
+        bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(g), F.lit(64)))
+        bits = F.aggregate("_g", F.lit(0).cast("long"), lambda all_, g: all_.bitwiseOR(bit(g)))
+        return df.select(c, F.col("_g").alias(to), size.alias(f"{to}n"), bits.alias(f"{to}b"), F.explode(head).alias("_k"))
+
+    n, m = F.col("_xn"), F.col("_yn")
+    # Trigrams in common have common bits, but for those that share a bit with others of their set.
+    most = F.bit_count(F.col("_xb").bitwiseAND(F.col("_yb"))) + F.least(n - F.bit_count("_xb"), m - F.bit_count("_yb"))
+    met = filed(x, a, "_x").join(filed(y, b, "_y"), "_k").where((n >= m * least - 1e-9) & (m >= n * least - 1e-9) & (most >= (n + m) * (least / (1 + least)) - 1e-9))
+    both = F.size(F.array_intersect("_x", "_y"))
+    return met.select(a, b, (both / (n + m - both)).alias("similarity")).where(F.col("similarity") >= least).distinct()
 
 
 def trigram_join(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
     """a, b, similarity of the pairs of distinct words whose trigrams' Jaccard index is ``least`` or more."""
-    grams = lambda df, c: df.where(F.col(c).isNotNull()).select(c).distinct().withColumn(f"_{c}", trigrams(F.col(c)))
-    x = grams(left, a).select(a, F.size(f"_{a}").alias("_na"), F.explode(f"_{a}").alias("_g"))
-    y = grams(right, b).select(b, F.size(f"_{b}").alias("_nb"), F.explode(f"_{b}").alias("_g"))
-    shared = x.join(y, "_g").groupBy(a, b).agg(F.count("*").alias("_k"), F.first("_na").alias("_na"), F.first("_nb").alias("_nb"))
-    return shared.select(a, b, (F.col("_k") / (F.col("_na") + F.col("_nb") - F.col("_k"))).alias("similarity")).where(F.col("similarity") >= least)
+    return similar(left, right, a, b, least, trigrams)
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, unit: str = "km") -> Column:
