@@ -26,8 +26,13 @@ def ingest_call_events(payloads: DataFrame, stored: DataFrame) -> DataFrame:
     """
     seen = stored.select("interaction_id").distinct().withColumn("_stored", F.lit(True))
     order = Window.partitionBy("interaction_id").orderBy(F.col("ingested_at_utc").asc_nulls_last(), F.sha2("raw_snapshot_json", 256))
-    rows = payloads.withColumn("_nth", F.row_number().over(order)).join(seen, "interaction_id", "left").withColumn("phone", first_json("raw_snapshot_json"))
-    again = F.coalesce(F.col("_stored"), F.lit(False)) | (F.col("_nth") > 1)
+    rows = payloads.withColumn("_nth", F.row_number().over(order)).join(seen, "interaction_id", "left")
+    return gate_rows(rows, F.coalesce(F.col("_stored"), F.lit(False)) | (F.col("_nth") > 1))
+
+
+def gate_rows(payloads: DataFrame, again: Column) -> DataFrame:
+    """Phone, status, action and reasons of each payload, given which are duplicates."""
+    rows = payloads.withColumn("phone", first_json("raw_snapshot_json"))
     fine = F.coalesce(F.col("phone").rlike(E164), F.lit(False))
     reasons = F.array_compact(F.array(F.when(again, "i2_duplicate"), F.when(~fine, "i1_phone_invalid"), F.when(F.col("zap_id").isNull(), "lineage_missing_warning")))
     status = F.when(again, "fail").when(~fine, "needs_human").otherwise("pass")
