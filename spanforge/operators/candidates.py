@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.match import find_terms, within_distance
+from ..plans.match import find_terms, tokens, within_distance
 
 EVIDENCE = ["span_id", "project_id", "source", "weight", "score", "assigned", "strong", "evidence"]
 
@@ -82,6 +82,28 @@ def from_budget_tier(spans: DataFrame, tiers: DataFrame, projects: DataFrame, ne
     return evidence(named.join(near.select("tier", "project_id"), "tier"), "budget_tier", score=score, text=F.col("tier"))
 
 
+def from_cross_contact_claims(terms: DataFrame, claims: DataFrame, projects: DataFrame, least: int = 2, most: int = 100, top: int = 5, score: float = 0.20) -> DataFrame:
+    """Open client projects whose confirmed claims have any of a span's terms: ``score`` times hits over 5, at most once, for the ``top`` first.
+
+    ``terms`` has span_id and term, one word each; spans of fewer than ``least``
+    terms are left out. Of the claims with a span's terms the first ``most`` by
+    id count. A term's claims are cut to as many before they meet spans: the
+    first of all terms together are among the first of each, so a term that
+    every claim has costs no more than a rare one.
+    """
+    words = claims.where("active AND claim_confirmation_state = 'confirmed' AND project_id IS NOT NULL").select("id", "project_id", F.explode(F.array_distinct(tokens(F.col("claim_text")))).alias("term"))
+    first = Window.partitionBy("term").orderBy("id")
+    postings = words.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
+    asked = terms.select("span_id", F.lower("term").alias("term")).where(F.length("term") > 1).distinct()
+    asked = asked.withColumn("_t", F.count("*").over(Window.partitionBy("span_id"))).where(F.col("_t") >= least)
+    met = asked.join(postings, "term").select("span_id", "id", "project_id").distinct()
+    met = met.withColumn("_n", F.row_number().over(Window.partitionBy("span_id").orderBy("id"))).where(F.col("_n") <= most)
+    open_ = projects.where(F.col("status").isin("active", "warranty", "estimating") & (F.col("project_kind") == "client")).select(F.col("id").alias("project_id"))
+    hits = met.groupBy("span_id", "project_id").agg(F.count("*").alias("hits")).join(open_, "project_id", "left_semi")
+    best = hits.withColumn("_n", F.row_number().over(Window.partitionBy("span_id").orderBy(F.desc("hits"), "project_id"))).where(F.col("_n") <= top)
+    return evidence(best, "cross_contact_claim_match", score=score * F.least(F.col("hits") / 5, F.lit(1.0)), text=F.col("hits").cast("string"))
+
+
 def aggregate_candidates(*sources: DataFrame) -> DataFrame:
     """One row per (span, project): sources, largest weight, sum of scores, alias evidence."""
     rows = sources[0].select(*EVIDENCE)

@@ -176,22 +176,3 @@ def parse_model_outputs(raw: DataFrame, schema: str, column: str = "output") ->
     text = F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1f]", " "), r",\s*([}\]])", "$1")
     rows = raw.withColumn("_clean", text).withColumn("parsed", F.when(F.try_parse_json("_clean").isNotNull(), F.from_json("_clean", schema)))
     return rows.where("parsed IS NOT NULL").drop("_clean"), rows.where("parsed IS NULL").drop("parsed")
-
-
-def load_manifest(spark, path: str, required: list[str], decisions: tuple[str, ...] = ("assign", "review", "none")) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantine) of a CSV or JSON file of labels; rows without an id get one from their content."""
-    df = spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.json(path)
-    if lack := [c for c in required if c not in df.columns]:
-        raise ValueError(f"manifest lacks {lack}")
-    own = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns))))
-    df = df.withColumn("row_id", F.coalesce("row_id", own) if "row_id" in df.columns else own)
-    good = F.col("interaction_id").isNotNull() & (F.col("expected_decision").isNull() | F.col("expected_decision").isin(*decisions))
-    return df.where(good), df.where(~good)
-
-
-def load_facts_jsonl(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantine) of typed facts, one JSON object per line."""
-    schema = "project_id string, as_of_at timestamp_ntz, observed_at timestamp_ntz, fact_kind string, fact_payload string, interaction_id string, _corrupt_record string"
-    df = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path).cache()
-    good = F.col("_corrupt_record").isNull() & F.col("project_id").isNotNull() & F.col("as_of_at").isNotNull() & F.col("observed_at").isNotNull() & F.col("fact_kind").isNotNull()
-    return df.where(good).drop("_corrupt_record"), df.where(~good)
