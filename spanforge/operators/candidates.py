@@ -82,6 +82,22 @@ def from_budget_tier(spans: DataFrame, tiers: DataFrame, projects: DataFrame, ne
     return evidence(named.join(near.select("tier", "project_id"), "tier"), "budget_tier", score=score, text=F.col("tier"))
 
 
+def from_email_mentions(spans: DataFrame, messages: DataFrame, mentions: DataFrame, days: int = 30, score: float = 0.45) -> DataFrame:
+    """Projects named in messages of the span's contact within ``days`` of it, on either side; evidence is how many messages.
+
+    Spans and messages meet on the contact and on bins of ``days``: a message is
+    filed under its own bin and both beside it, and the distance decides. Only
+    messages that name a project take part.
+    """
+    bin_ = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (days * 86_400_000_000)).cast("long")
+    named = messages.join(mentions.select("message_id", "project_id").distinct(), "message_id").select("contact_id", "message_id", "project_id", "sent_at", F.explode(F.array(bin_("sent_at") - 1, bin_("sent_at"), bin_("sent_at") + 1)).alias("_b"))
+    near = spans.where("event_at_utc IS NOT NULL").select("span_id", "contact_id", "event_at_utc", bin_("event_at_utc").alias("_b")).join(named, ["contact_id", "_b"])
+    gap = F.expr(f"INTERVAL {days} DAYS")
+    near = near.where((F.col("sent_at") >= F.col("event_at_utc") - gap) & (F.col("sent_at") <= F.col("event_at_utc") + gap))
+    found = near.groupBy("span_id", "project_id").agg(F.countDistinct("message_id").alias("n"))
+    return evidence(found, "gmail_content_match", score=score, text=F.col("n").cast("string"))
+
+
 def from_cross_contact_claims(terms: DataFrame, claims: DataFrame, projects: DataFrame, least: int = 2, most: int = 100, top: int = 5, score: float = 0.20) -> DataFrame:
     """Open client projects whose confirmed claims have any of a span's terms: ``score`` times hits over 5, at most once, for the ``top`` first.
 
@@ -197,22 +213,30 @@ def claim_overlap(spans: DataFrame, claims: DataFrame, recent: int = 8, scale: f
     return evidence(per.groupBy("span_id", "project_id").agg(F.least(F.lit(cap), F.max("_s")).alias("s")), "claim_overlap", score=F.col("s"))
 
 
-def claim_crossref(spans: DataFrame, candidates: DataFrame, claims: DataFrame) -> DataFrame:
+def claim_crossref(spans: DataFrame, candidates: DataFrame, claims: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """score of each (span, candidate): IDF-weighted share of the span's terms that the project's claims have.
 
     Terms and the claim words of the span's candidates meet on their first five
-    characters, then one must begin with the other (or be equal). IDF counts only the span's candidates.
+    characters, then one must begin with the other (or be equal). IDF counts
+    only the span's candidates. With ``terms`` (span_id, term, weight) these
+    count, each by its weight; a term of several words is there if each of its
+    words of four letters or more is.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: F.length(x) >= 4))
-    terms = spans.select("span_id", F.explode(words(F.col("text"))).alias("term")).withColumn("_k", F.left("term", F.lit(5)))
-    own = claims.where("active AND project_id IS NOT NULL").select("project_id", F.explode(words(F.col("claim_text"))).alias("word")).distinct().withColumn("_k", F.left("word", F.lit(5)))
+    cut = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: F.length(x) >= 4))
+    if terms is None:
+        terms = spans.select("span_id", F.explode(cut(F.col("text"))).alias("term")).distinct().withColumn("weight", F.lit(1.0))
+    parts = terms.select("span_id", "term", cut(F.col("term")).alias("_p")).where(F.size("_p") > 0)
+    terms = terms.join(parts.select("span_id", "term"), ["span_id", "term"], "left_semi")
+    parts = parts.select("span_id", "term", F.size("_p").alias("_np"), F.explode("_p").alias("part")).withColumn("_k", F.left("part", F.lit(5)))
+    own = claims.where("active AND project_id IS NOT NULL").select("project_id", F.explode(cut(F.col("claim_text"))).alias("word")).distinct().withColumn("_k", F.left("word", F.lit(5)))
     pairs = candidates.select("span_id", "project_id").distinct()
-    hit = terms.join(pairs, "span_id").join(own, ["project_id", "_k"]).where((F.col("term") == F.col("word")) | (F.col("term").startswith(F.col("word")) & (F.length("word") >= 5)) | (F.col("word").startswith(F.col("term")) & (F.length("term") >= 5)))
-    hit = hit.select("span_id", "project_id", "term").distinct()
+    met = parts.join(pairs, "span_id").join(own, ["project_id", "_k"])
+    met = met.where((F.col("part") == F.col("word")) | (F.col("part").startswith(F.col("word")) & (F.length("word") >= 5)) | (F.col("word").startswith(F.col("part")) & (F.length("part") >= 5)))
+    hit = met.groupBy("span_id", "project_id", "term", "_np").agg(F.countDistinct("part").alias("_h")).where("_h = _np").select("span_id", "project_id", "term")
     with_claims = pairs.join(own.select("project_id").distinct(), "project_id", "left_semi").groupBy("span_id").agg(F.count("*").alias("_n"))
     df = hit.groupBy("span_id", "term").agg(F.count("*").alias("_df"))
     idf = F.log((F.col("_n") + 1) / (F.coalesce("_df", F.lit(0)) + 1)) + 0.15
-    weight = terms.select("span_id", "term").join(with_claims, "span_id").join(df, ["span_id", "term"], "left").withColumn("_idf", idf)
+    weight = terms.select("span_id", "term", "weight").join(with_claims, "span_id").join(df, ["span_id", "term"], "left").withColumn("_idf", idf * F.col("weight"))
     total = weight.groupBy("span_id").agg(F.sum("_idf").alias("_all"))
     got = hit.join(weight.select("span_id", "term", "_idf"), ["span_id", "term"]).groupBy("span_id", "project_id").agg(F.sum("_idf").alias("_s"), F.count("*").alias("n_terms"))
     return got.join(total, "span_id").select("span_id", "project_id", F.round(F.col("_s") / F.col("_all"), 3).alias("crossref"), "n_terms")

@@ -97,7 +97,6 @@ register("cnd25_auto_assign", lambda t: c.auto_assign(c.intake_rank(t.spark.sql(
 tp AS (SELECT interaction_id, contact_id, count(*) AS n, max(CASE WHEN rank = 1 THEN project_id END) AS f, max(CASE WHEN rank = 1 THEN rank_score END) AS s1, max(CASE WHEN rank = 2 THEN rank_score END) AS s2, max(CASE WHEN rank = 1 THEN confidence END) AS c1 FROM rc GROUP BY 1, 2),
 r AS (SELECT tp.*, o.p, CASE WHEN o.n = 1 THEN 'single_client_project' WHEN tp.n = 1 AND coalesce(o.n, 0) <= 3 THEN 'solo_candidate' WHEN s1 >= 150 AND s1 >= 2 * coalesce(s2, 0) AND c1 >= 0.55 THEN 'clear_first' ELSE 'no_rule' END AS rule FROM tp LEFT JOIN o USING (contact_id))
 SELECT interaction_id, rule, CASE WHEN rule = 'single_client_project' THEN p WHEN rule <> 'no_rule' THEN f END AS project_id FROM r""")
-register("cnd20_claim_crossref", lambda t: c.claim_crossref(t.claims.select(F.col("call_id").alias("span_id"), F.col("claim_text").alias("text")), t.claims.select(F.col("call_id").alias("span_id"), "project_id").where("project_id IS NOT NULL"), t.claims), "claims", None)
 register("cnd22_project_journal_state", lambda t: c.project_journal_state(_agg(t), _spans(t), confirmation_state(t.claims), t.loops), V + " claims loops", f"""WITH {HEAD}, {PC}, {AF}, {EX}, {AGG}, {CT},
 cl AS (SELECT contact_id, project_id, string_agg(id, ',' ORDER BY rn, id) AS claims FROM (SELECT *, row_number() OVER (PARTITION BY contact_id, project_id ORDER BY created_at DESC, id) AS rn FROM ct WHERE active AND st = 'confirmed') WHERE rn <= 5 GROUP BY 1, 2),
 lo AS (SELECT project_id, string_agg(id, ',' ORDER BY rn, id) AS loops FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id) AS rn FROM loops WHERE status = 'open') WHERE rn <= 3 GROUP BY 1)
