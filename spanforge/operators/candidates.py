@@ -76,8 +76,11 @@ def from_budget_tier(spans: DataFrame, tiers: DataFrame, projects: DataFrame, ne
 
     The nearest are found per tier, so projects meet tiers, not spans.
     """
-    gap = F.abs(F.col("contract_value") - (F.col("low") + F.col("high")) / 2)
-    near = tiers.select("tier", "low", "high").distinct().join(projects.select(F.col("id").alias("project_id"), "contract_value")).withColumn("_rn", F.row_number().over(Window.partitionBy("tier").orderBy(gap, "project_id"))).where(F.col("_rn") <= nearest)
+    middles = tiers.select("tier", ((F.col("low") + F.col("high")) / 2).cast("double").alias("middle")).distinct()
+    values = projects.where("contract_value IS NOT NULL").select(F.col("id").alias("project_id"), F.col("contract_value").cast("double").alias("v"))
+    gap = F.abs(F.col("v") - F.col("middle"))
+    # A table of tiers is a parameter of a few rows, and each task keeps its nearest before they meet.
+    near = values.join(F.broadcast(middles)).withColumn("_rn", F.row_number().over(Window.partitionBy("tier", "middle").orderBy(gap, "project_id"))).where(F.col("_rn") <= nearest)
     named = find_terms(spans.select("span_id", "text"), tiers.select("term", "tier"), "span_id").select("span_id", "tier").distinct()
     return evidence(named.join(near.select("tier", "project_id"), "tier"), "budget_tier", score=score, text=F.col("tier"))
 

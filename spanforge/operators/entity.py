@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.basics import at, days, latest
 from ..functions.phonetic import with_codes
 from ..functions.text import normalize_phone
-from ..plans.match import find_terms, phrase_key, tokens, trigram_join
+from ..plans.match import find_terms, tokens, trigram_join, trigrams
 
 
 def _phones(contacts: DataFrame) -> DataFrame:
@@ -255,8 +255,11 @@ def suggest_contact_aliases(texts: DataFrame, contacts: DataFrame, most: int = 2
     """Words that are within ``most`` edits of a contact's name word; they share a trigram, and are no name themselves."""
     names = contacts.select("id", F.explode(F.split(F.lower("name"), r"[^a-z]+")).alias("part")).where(F.length("part") >= 4).distinct()
     words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{3,})\b"), F.lit(1))).alias("w")).select(F.lower("w").alias("word")).distinct()
-    near = trigram_join(words, names.select("part"), "word", "part", 0.05).where("word <> part")
-    return near.withColumn("edits", F.levenshtein(F.col("word"), F.col("part"), most)).where("edits >= 0").join(names, "part").select("word", "part", "id", "edits")
+    # Different words meet different name words, on trigrams, where their lengths allow so few edits.
+    keyed = lambda df, c: df.select(c).distinct().withColumn("_k", F.explode(trigrams(F.col(c))))
+    near = keyed(words, "word").join(keyed(names, "part"), "_k").where((F.abs(F.length("word") - F.length("part")) <= most) & (F.col("word") != F.col("part"))).select("word", "part").distinct()
+    near = near.withColumn("edits", F.levenshtein(F.col("word"), F.col("part"), most)).where("edits >= 0").join(names.select(F.col("part").alias("word")), "word", "left_anti")
+    return near.join(names, "part").select("word", "part", "id", "edits")
 
 
 def alias_discovery_status(contacts: DataFrame) -> DataFrame:

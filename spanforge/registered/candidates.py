@@ -72,7 +72,7 @@ a AS (SELECT span_id, project_id, count(*) AS n_alias, count(*) FILTER (WHERE st
 SELECT span_id, project_id, CAST(row_number() OVER (PARTITION BY span_id ORDER BY n_strong = 0, n_alias DESC, n_strong DESC, project_id) AS INT) AS rank, n_alias, n_strong, n_strong = 0 AS weak_only FROM a QUALIFY rank <= 8""")
 register("cnd05_transcript_terms", lambda t: c.from_terms(_texts(t), _aliases(t), 3).select("span_id", "project_id", "strong", "evidence"), "texts", f"""WITH {ALIAS}
 SELECT span_id, project_id, kind = 'name' OR regexp_matches(term, '^\\d+\\s+\\S') OR regexp_matches(trim(term), '\\S\\s+\\S') OR length(trim(term)) >= 6 AS strong, kind || ':' || term || ':' || CAST(first_token AS VARCHAR) AS evidence FROM ft""")
-PLACES = "SELECT CAST(user_id AS STRING) AS span_id, CAST(event_id AS STRING) AS place, CAST((event_id * 29) % 180 - 90 AS DOUBLE) / 2 + 0.1 AS lat, CAST((event_id * 41) % 360 - 180 AS DOUBLE) / 2 + 0.1 AS lon, CASE event_type WHEN 'click' THEN 'destination' WHEN 'view' THEN 'origin' ELSE 'proximity' END AS role FROM {e} WHERE event_id < 3000"
+PLACES = "SELECT CAST(user_id AS STRING) AS span_id, CAST(event_id AS STRING) AS place, CAST((event_id * 29) % 180 - 90 AS DOUBLE) / 2 + 0.1 AS lat, CAST((event_id * 41) % 360 - 180 AS DOUBLE) / 2 + 0.1 AS lon, CASE event_type WHEN 'click' THEN 'destination' WHEN 'view' THEN 'origin' ELSE 'proximity' END AS role FROM {e}"
 register("cnd08_geo_proximity", lambda t: c.from_geo(t.spark.sql(PLACES, e=t.events), t.projects, 300.0).select("span_id", "project_id", F.round("score", 4).alias("score")), "projects", f"""WITH p AS ({PLACES.format(e="events")}),
 h AS (SELECT span_id, place, role, id AS project_id, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(j.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(j.lat)) * pow(sin((radians(j.lon) - radians(p.lon)) / 2), 2)))) AS d FROM p, projects j),
 g AS (SELECT span_id, project_id, min(d) AS d, count(DISTINCT place) AS n, count(*) FILTER (WHERE role = 'destination') AS de, count(*) FILTER (WHERE role = 'origin') AS o, count(*) FILTER (WHERE role = 'proximity') AS pr FROM h WHERE d <= 300 GROUP BY 1, 2),

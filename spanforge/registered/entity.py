@@ -25,7 +25,7 @@ register("ent32_backfill_party_names", lambda t: e.backfill_party_names(t.intera
 WITH c AS (SELECT interaction_id, CASE WHEN needs_review THEN contact_name END AS o, CASE WHEN channel = 'sms' THEN NULL ELSE contact_id END AS contact_id, contact_name AS i FROM interactions)
 SELECT interaction_id, coalesce(o, k.name, i) AS other_party_name, CASE WHEN o IS NOT NULL THEN 'own' WHEN k.name IS NOT NULL THEN 'contact' WHEN i IS NOT NULL THEN 'interaction' ELSE 'none' END AS basis FROM c LEFT JOIN contacts k ON k.id = c.contact_id""")
 DICT = "di AS (SELECT id, lower(trim(name)) AS term, 'name' AS kind FROM contacts UNION SELECT id, lower(trim(unnest(string_split(alias_list, '|')))), 'alias' FROM contacts)"
-ASK = "SELECT DISTINCT CASE WHEN l_orderkey % 2 = 0 THEN 'CUST ' || CAST(l_partkey % 900 AS STRING) ELSE 'Customer#' || lpad(CAST(l_partkey AS STRING), 9, '0') END AS name FROM {l} WHERE l_linenumber = 1"
+ASK = "SELECT DISTINCT CASE WHEN l_orderkey % 2 = 0 THEN 'CUST ' || CAST(l_partkey % 900 AS STRING) ELSE 'Customer#' || lpad(CAST(l_partkey AS STRING), 9, '0') END AS name FROM {l}"
 register("ent02_find_by_name_or_alias", lambda t: e.find_contact_by_name_or_alias(t.spark.sql(ASK, l=t.lineitem), _contacts(t)), "contacts", f"WITH {DICT}, a AS ({ASK.format(l='lineitem')}) SELECT name, id AS contact_id, kind FROM a JOIN di ON lower(trim(name)) = term QUALIFY row_number() OVER (PARTITION BY name ORDER BY kind DESC, id) = 1")
 register("ent04_match_by_names", lambda t: e.match_contacts_by_names(t.spark.sql(ASK, l=t.lineitem), _contacts(t)), "contacts", f"WITH {DICT}, a AS ({ASK.format(l='lineitem')}), m AS (SELECT id, min(CASE kind WHEN 'name' THEN 0 ELSE 1 END) AS rank FROM (SELECT DISTINCT lower(trim(name)) AS term FROM a) JOIN di USING (term) GROUP BY 1) SELECT id, CAST(rank AS INT) AS rank, is_internal FROM m JOIN contacts USING (id) ORDER BY rank, is_internal, id LIMIT 25")
 register("ent03_match_in_text", lambda t: e.match_contacts_in_text(t.interactions.selectExpr("interaction_id", "concat('talk with ', contact_name, ' and cust ', contact_id, ' now') AS text").where("text IS NOT NULL"), _contacts(t).withColumn("name", F.regexp_replace("name", "#", " ")), "interaction_id"), "interactions contacts", """
@@ -58,21 +58,21 @@ SELECT project_id, lower(trim(alias)) AS alias FROM al WHERE active AND project_
 register("ent16_client_aliases", lambda t: e.generate_client_aliases(t.affinity, t.contacts), "affinity contacts", "SELECT DISTINCT project_id, unnest(['Customer', right(name, 9)]) AS alias FROM affinity f JOIN contacts c ON c.id = f.contact_id WHERE weight > 0")
 register("ent17_place_aliases", lambda t: e.generate_place_aliases(t.projects.selectExpr("id", "concat(name, ' residence') AS name", "city", "CAST(NULL AS STRING) AS county", "concat(id, ' Oak Hill Road') AS address")), "projects", """
 SELECT id AS project_id, unnest([name, city, 'Oak Hill Road', 'Oak Hill']) AS alias, unnest([0.95, 0.80, 0.85, 0.85]::DOUBLE[]) AS confidence, unnest(['name_stem', 'city', 'street', 'street']) AS alias_type FROM projects""")
-register("ent18_alias_candidates_zero", lambda t: e.alias_candidates_zero(t.projects, _aliases(t).where("project_id % 3 <> 0")), "projects", """
-WITH b AS (SELECT * FROM projects WHERE id NOT IN (SELECT CAST(p_partkey % 100 AS VARCHAR) FROM part WHERE (p_partkey % 100) % 3 <> 0)) SELECT id AS project_id, unnest(['Project', id]) AS alias, unnest([0.7, 0.6]::DOUBLE[]) AS confidence FROM b""")
+register("ent18_alias_candidates_zero", lambda t: e.alias_candidates_zero(t.projects, _aliases(t).withColumn("project_id", (F.col("project_id") % 7).cast("int").cast("string"))), "projects", """
+WITH b AS (SELECT * FROM projects WHERE id NOT IN (SELECT CAST((p_partkey % 100) % 7 AS VARCHAR) FROM part)) SELECT id AS project_id, unnest(['Project', id]) AS alias, unnest([0.7, 0.6]::DOUBLE[]) AS confidence FROM b""")
 register("ent19_alias_candidates_auto_only", lambda t: e.alias_candidates_auto_only(t.projects.withColumn("address", F.concat(F.col("id"), F.lit(" Oak Road"))), _aliases(t)), "projects", f"WITH {AD}, a AS (SELECT project_id FROM al GROUP BY 1 HAVING bool_and(source = 'auto')) SELECT id AS project_id, 'Project Oak Road' AS alias, 0.5::DOUBLE AS confidence FROM projects WHERE id IN (SELECT project_id FROM a)")
-register("ent20_alias_candidates_mined", lambda t: e.alias_candidates_mined(t.claims.select(F.col("call_id").alias("interaction_id"), "project_id", F.col("claim_text").alias("text")), t.part.where("p_partkey % 5 = 0").select(F.lower(F.substring_index("p_name", " ", 1)).alias("term")), t.part.select(F.lower("p_type").alias("term")).where("term = 'small'"), 4), "claims", """
+register("ent20_alias_candidates_mined", lambda t: e.alias_candidates_mined(t.claims.select(F.col("call_id").alias("interaction_id"), "project_id", F.col("claim_text").alias("text")), t.part.where("p_size < 10").select(F.lower(F.substring_index("p_name", " ", 1)).alias("term")), t.part.select(F.lower("p_type").alias("term")).where("term = 'small'"), 4), "claims", """
 WITH w AS (SELECT DISTINCT project_id, call_id, unnest(list_filter(string_split_regex(lower(claim_text), '[^\\p{L}\\p{N}_]+'), lambda x: length(x) >= 4)) AS term FROM claims WHERE project_id IS NOT NULL),
 n AS (SELECT project_id, term, count(DISTINCT call_id) AS n, list_sort(list(DISTINCT call_id)) AS s FROM w GROUP BY 1, 2 HAVING count(DISTINCT call_id) >= 4)
-SELECT project_id, term, n, least(0.8, 0.4::DOUBLE + 0.1::DOUBLE * (n - 3)) AS confidence, array_to_string(s[1:3], ',') AS samples FROM n WHERE term NOT IN (SELECT lower(split_part(p_name, ' ', 1)) FROM part WHERE p_partkey % 5 = 0) AND term <> 'small'""")
+SELECT project_id, term, n, least(0.8, 0.4::DOUBLE + 0.1::DOUBLE * (n - 3)) AS confidence, array_to_string(s[1:3], ',') AS samples FROM n WHERE term NOT IN (SELECT lower(split_part(p_name, ' ', 1)) FROM part WHERE p_size < 10) AND term <> 'small'""")
 register("ent21_promote_aliases", lambda t: e.promote_aliases(_aliases(t), _aliases(t).where("source = 'human'")), "", f"""WITH {AD} SELECT project_id, alias, confidence FROM al a WHERE status = 'approved' AND NOT EXISTS (SELECT 1 FROM al b WHERE b.source = 'human' AND b.active AND b.project_id = a.project_id AND lower(b.alias) = lower(a.alias)) QUALIFY row_number() OVER (PARTITION BY project_id, lower(alias) ORDER BY confidence DESC, alias) = 1""")
 register("ent22_retire_closed_aliases", lambda t: e.retire_closed_aliases(_aliases(t), t.projects).select("project_id", "alias", "active", "retired"), "projects", f"WITH {AD} SELECT project_id, alias, active AND coalesce(p.status, '') <> 'closed' AS active, active AND coalesce(p.status, '') = 'closed' AS retired FROM al LEFT JOIN projects p ON p.id = al.project_id")
 register("ent23_expire_suggestions", lambda t: e.expire_suggestions(_aliases(t), "2024-02-20").groupBy("status").agg(F.count("*").alias("n")), "", f"WITH {AD} SELECT CASE WHEN status = 'pending' AND created_at < TIMESTAMP '2024-01-21' THEN 'rejected' ELSE status END AS status, count(*) AS n FROM al GROUP BY 1")
 register("ent24_alias_collisions", lambda t: e.alias_collisions(_aliases(t)), "", f"WITH {AD} SELECT lower(alias) AS alias, count(DISTINCT project_id) AS n, string_agg(DISTINCT project_id, ',' ORDER BY project_id) AS projects FROM al WHERE active GROUP BY 1 HAVING count(DISTINCT project_id) > 1")
-register("ent25_contact_alias_collisions", lambda t: e.contact_alias_collisions(t.contacts.where("id < '2'").selectExpr("id AS contact_id", "concat('Cust ', CAST(id AS INT) % 300) AS alias"), _contacts(t)), "contacts", """
-WITH p AS (SELECT id AS contact_id, 'Cust ' || CAST(CAST(id AS INT) % 300 AS VARCHAR) AS alias FROM contacts WHERE id < '2'), k AS (SELECT DISTINCT id, lower(unnest(string_split(alias_list, '|'))) AS k FROM contacts)
+register("ent25_contact_alias_collisions", lambda t: e.contact_alias_collisions(t.contacts.selectExpr("id AS contact_id", "concat('Cust ', CAST(id AS INT) % 300) AS alias"), _contacts(t)), "contacts", """
+WITH p AS (SELECT id AS contact_id, 'Cust ' || CAST(CAST(id AS INT) % 300 AS VARCHAR) AS alias FROM contacts), k AS (SELECT DISTINCT id, lower(unnest(string_split(alias_list, '|'))) AS k FROM contacts)
 SELECT contact_id, alias, 'alias' AS kind, count(DISTINCT id) AS n_contacts FROM p JOIN k ON lower(alias) = k WHERE id <> contact_id GROUP BY 1, 2""")
-register("ent26_suggest_contact_aliases", lambda t: e.suggest_contact_aliases(t.texts, t.contacts.withColumn("name", F.concat(F.lit("Thera "), F.col("id")))))
+register("ent26_suggest_contact_aliases", lambda t: e.suggest_contact_aliases(t.texts, _persons(t)))
 register("ent27_alias_discovery_status", lambda t: e.alias_discovery_status(_contacts(t)), "contacts", "SELECT id, CASE WHEN is_internal THEN 'OK' ELSE 'NEEDS_COMPANY_ALIASES' END AS status FROM contacts")
 register("ent29_link_vendors", lambda t: e.link_vendors(t.lineitem.selectExpr("concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_extendedprice) AS row_id", "CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE CAST(l_partkey AS STRING) END AS vendor_id", "CAST(l_suppkey + 5 AS STRING) AS project_id"), t.projects).groupBy("result").agg(F.count("*").alias("n")), "projects", """
 WITH l AS (SELECT CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS v, CAST(l_suppkey + 5 AS VARCHAR) AS p FROM lineitem), r AS (SELECT v, p, row_number() OVER (PARTITION BY v, p) AS n FROM l)
