@@ -40,7 +40,7 @@ def common_alias_guard(proposals: DataFrame, anchors: DataFrame, classes: DataFr
     flags = per.groupBy("span_id").agg(F.bool_and((F.col("_other") == 0) & (F.col("_n") <= 3)).alias("common_only"))
     rows = proposals.join(flags, "span_id", "left")
     bad = (F.col("decision") == "assign") & F.coalesce("common_only", F.lit(False))
-    return rows.withColumn("decision", F.when(bad, "review").otherwise(F.col("decision"))).withColumn("common_alias", bad).drop("common_only")
+    return rows.withColumns({"common_alias": bad, "decision": F.when(bad, "review").otherwise(F.col("decision"))}).drop("common_only")
 
 
 def location_rule_guard(proposals: DataFrame, anchors: DataFrame, rules: DataFrame, least: float = 0.80) -> DataFrame:

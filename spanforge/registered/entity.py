@@ -45,7 +45,12 @@ def _persons(t):
 
 
 register("ent05_resolve_speakers", lambda t: e.resolve_speakers(_said(t), _persons(t), t.affinity))
-register("ent09_fuzzy_alias_matches", lambda t: e.fuzzy_alias_matches(t.part.selectExpr("concat(substr(p_name, 1, 5), p_partkey % 10) AS term"), t.part.selectExpr("p_name AS alias")))
+register("ent09_fuzzy_alias_matches", lambda t: e.fuzzy_alias_matches(t.part.selectExpr("concat(substr(p_name, 1, 5), p_partkey % 10) AS term"), t.part.selectExpr("p_name AS alias")), "", """
+WITH g AS (SELECT DISTINCT lower(substr(p_name, 1, 5) || CAST(p_partkey % 10 AS VARCHAR)) AS term FROM part), a AS (SELECT DISTINCT lower(p_name) AS alias FROM part),
+x AS (SELECT term, list_distinct(list_transform(range(1, length(term) + 2), lambda i: substr('  ' || term || ' ', i, 3))) AS gt FROM g), y AS (SELECT alias, list_distinct(list_transform(range(1, length(alias) + 2), lambda i: substr('  ' || alias || ' ', i, 3))) AS ga FROM a),
+m AS (SELECT term, alias, len(list_intersect(gt, ga)) AS o, len(gt) AS n, len(ga) AS k, levenshtein(term, alias) AS d FROM x, y), s AS (SELECT term, alias, d, o::DOUBLE / (n + k - o) AS sim FROM m),
+r AS (SELECT term, alias, CASE WHEN term = alias THEN 1.0::DOUBLE WHEN starts_with(alias, term) THEN 0.95::DOUBLE ELSE greatest(CASE WHEN sim >= 0.2 THEN sim ELSE 0 END, CASE WHEN d <= 2 AND sim >= 0.2 THEN 1 - d / 5.0::DOUBLE ELSE 0 END) END AS score FROM s WHERE sim >= 0.2 OR starts_with(alias, term))
+SELECT term, alias, score FROM r WHERE score >= 0.4""")
 register("ent12_expand_from_speakers", lambda t: e.expand_from_speakers(t.interactions.select("interaction_id", "contact_id"), t.contacts.withColumn("contact_type", F.when(F.col("contact_type") == "BUILDING", "client").otherwise("other")), t.affinity), "interactions contacts affinity", """
 SELECT interaction_id, f.project_id, max(CASE WHEN contact_type = 'BUILDING' THEN 0.95::DOUBLE WHEN is_internal THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END) AS score, count(DISTINCT i.contact_id) AS n_speakers FROM interactions i JOIN contacts c ON c.id = i.contact_id JOIN affinity f ON f.contact_id = i.contact_id WHERE weight > 0 GROUP BY 1, 2""")
 register("ent13_list_floaters", lambda t: e.list_floaters(t.project_contacts), "project_contacts", "SELECT contact_id, count(DISTINCT project_id) AS n_projects, string_agg(DISTINCT project_id, ',' ORDER BY project_id) AS projects FROM project_contacts GROUP BY 1 HAVING count(DISTINCT project_id) >= 3")

@@ -96,4 +96,10 @@ register("led18_review_spans_missing_extraction", lambda t: d.review_spans_missi
 WITH a AS (SELECT * FROM attributions QUALIFY row_number() OVER (PARTITION BY span_id ORDER BY attributed_at DESC, attribution_id DESC) = 1)
 SELECT span_id, project_id, confidence FROM a WHERE decision = 'review' AND confidence >= 0.7::DOUBLE AND project_id IS NOT NULL AND EXISTS (SELECT 1 FROM review_queue q WHERE q.span_id = a.span_id AND status = 'pending') AND NOT EXISTS (SELECT 1 FROM claims c WHERE c.source_span_id = a.span_id AND active)""")
 register("led17_striking_rollup", lambda t: d.striking_rollup(t.striking.select("span_id", "striking_score", F.concat(F.lit("Loud  "), "signal", F.lit(" here")).alias("text"), F.array(F.struct(F.lit("error").alias("type"), F.lit(0.5).alias("confidence"), F.concat(F.lit("LOUD "), "signal").alias("quote")), F.struct(F.lit("tone").alias("type"), F.lit(0.9).alias("confidence"), F.lit("error here").alias("quote")), F.struct(F.lit("odd").alias("type"), F.lit(1.0).alias("confidence"), F.lit("here").alias("quote"))).alias("signals")), ("error", "tone")), "striking", "SELECT span_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, striking_score)) AS score, CASE WHEN signal = 'error' THEN 2 ELSE 1 END AS n_signals, CASE WHEN signal = 'error' THEN 'tone' ELSE 'error' END AS primary_signal FROM striking")
-register("led08_belief_snapshot", lambda t: d.belief_snapshot(t.claims, t.loops, at("2000-01-01")))
+register("led08_belief_snapshot", lambda t: d.belief_snapshot(t.claims, t.loops, at("2000-01-01")), "claims loops", """
+WITH c AS (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY epoch(created_at) / 1e9::DOUBLE * coalesce(attribution_confidence, 0.5::DOUBLE) * CASE WHEN warrant_level = 'high' THEN 1.5::DOUBLE ELSE 1 END DESC, id) AS INT) AS rank FROM claims WHERE active AND project_id IS NOT NULL AND created_at <= TIMESTAMP '2000-01-01' QUALIFY rank <= 20),
+j AS (SELECT *, to_json(struct_pack(rank := rank, id := id, claim_type := claim_type, claim_text := claim_text)) AS j FROM c), k AS (SELECT *, sum(length(CAST(j AS VARCHAR)) + 1) OVER (PARTITION BY project_id ORDER BY rank) AS n FROM j QUALIFY n <= 6000),
+a AS (SELECT project_id, count(*) AS n_claims, string_agg(CAST(j AS VARCHAR), ',' ORDER BY rank) AS claims FROM k GROUP BY 1),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY created_at, id) AS INT) AS rank FROM loops WHERE status = 'open' AND created_at <= TIMESTAMP '2000-01-01' QUALIFY rank <= 10),
+p AS (SELECT project_id, string_agg(CAST(to_json(struct_pack(rank := rank, id := id, loop_type := loop_type)) AS VARCHAR), ',' ORDER BY rank) AS loops FROM o GROUP BY 1)
+SELECT project_id, CAST(n_claims AS INT) AS n_claims, chr(123) || '"claims":[' || claims || ']' || coalesce(',"open_loops":[' || loops || ']', '') || chr(125) AS snapshot FROM a LEFT JOIN p USING (project_id)""")

@@ -20,8 +20,15 @@ register("dec02_anchor_rules", lambda t: p.anchor_rules(_pr(t), t.claims.selectE
 WITH {HP}, s AS (SELECT DISTINCT lower(p_name || ' ' || p_type) AS n FROM part WHERE p_size = 7), k AS (SELECT source_span_id AS span_id, count(*) FILTER (WHERE char_start IS NOT NULL AND n IS NULL) AS v, count(*) FILTER (WHERE char_start IS NOT NULL AND warrant_level = 'high' AND n IS NULL) AS g FROM claims LEFT JOIN s ON s.n = lower(claim_text) GROUP BY 1),
 w AS (SELECT pr.*, CASE WHEN decision = 'assign' AND coalesce(v, 0) = 0 THEN 'no_valid_anchor' WHEN decision = 'assign' AND coalesce(g, 0) = 0 AND NOT owner_override THEN 'no_strong_anchor' END AS anchor_reason FROM pr LEFT JOIN k USING (span_id))
 SELECT span_id, attribution_id, CASE WHEN anchor_reason IS NOT NULL THEN 'review' ELSE decision END AS decision, anchor_reason FROM w""")
-register("dec03_common_alias_guard", lambda t: p.common_alias_guard(_pr(t), t.claims.selectExpr("source_span_id AS span_id", "claim_text AS text", "active AS verified"), t.part.selectExpr("substring_index(p_name, ' ', 1) AS word", "'color' AS class").unionByName(t.part.where("p_partkey % 2 = 0").selectExpr("substring_index(p_name, ' ', -1) AS word", "'material' AS class")).unionByName(t.part.where("p_type <> 'SMALL'").selectExpr("lower(p_type) AS word", "'generic' AS class"))).select("span_id", "attribution_id", "decision", "common_alias"))
-register("dec04_location_rule", lambda t: p.location_rule_guard(_pr(t), t.claims.selectExpr("source_span_id AS span_id", "CASE WHEN active THEN 'address' ELSE 'alias' END AS kind", "claim_text AS text", "warrant_level = 'high' AS strong", "project_id AS candidate_project_id"), t.part.where("p_type = 'SMALL'").selectExpr("p_name AS phrase", "'77' AS project_id").distinct()).select("span_id", "attribution_id", "decision", "location_rule"))
+register("dec03_common_alias_guard", lambda t: p.common_alias_guard(_pr(t), t.claims.selectExpr("source_span_id AS span_id", "claim_text AS text", "active AS verified"), t.part.selectExpr("substring_index(p_name, ' ', 1) AS word", "'color' AS class").unionByName(t.part.where("p_size < 25").selectExpr("substring_index(p_name, ' ', -1) AS word", "'material' AS class")).unionByName(t.part.where("p_type <> 'SMALL'").selectExpr("lower(p_type) AS word", "'generic' AS class"))).select("span_id", "attribution_id", "decision", "common_alias"), "attributions claims", f"""
+WITH {HP}, cw AS (SELECT split_part(p_name, ' ', 1) AS word FROM part UNION SELECT split_part(p_name, ' ', -1) FROM part WHERE p_size < 25 UNION SELECT lower(p_type) FROM part WHERE p_type <> 'SMALL'),
+an AS (SELECT row_number() OVER () AS i, source_span_id AS span_id, string_split_regex(lower(trim(claim_text)), '\\s+') AS w FROM claims WHERE active), uw AS (SELECT i, span_id, len(w) AS n, unnest(w) AS word FROM an),
+pa AS (SELECT i, span_id, any_value(n) AS n, count(*) FILTER (WHERE word NOT IN (SELECT word FROM cw)) AS o FROM uw GROUP BY 1, 2), fl AS (SELECT span_id, bool_and(o = 0 AND n <= 3) AS c FROM pa GROUP BY 1),
+r AS (SELECT pr.*, decision = 'assign' AND coalesce(c, false) AS bad FROM pr LEFT JOIN fl USING (span_id)) SELECT span_id, attribution_id, CASE WHEN bad THEN 'review' ELSE decision END AS decision, bad AS common_alias FROM r""")
+register("dec04_location_rule", lambda t: p.location_rule_guard(_pr(t), t.claims.selectExpr("source_span_id AS span_id", "CASE WHEN active THEN 'address' ELSE 'alias' END AS kind", "claim_text AS text", "warrant_level = 'high' AS strong", "project_id AS candidate_project_id"), t.part.where("p_type = 'SMALL'").selectExpr("p_name AS phrase", "'77' AS project_id").distinct()).select("span_id", "attribution_id", "decision", "location_rule"), "attributions claims", f"""
+WITH {HP}, ru AS (SELECT DISTINCT lower(p_name) AS phrase FROM part WHERE p_type = 'SMALL'), sa AS (SELECT DISTINCT source_span_id AS span_id FROM claims JOIN ru ON contains(lower(claim_text), phrase) WHERE active),
+ag AS (SELECT DISTINCT source_span_id AS span_id FROM claims WHERE warrant_level = 'high' AND project_id <> '77'), r AS (SELECT pr.*, span_id IN (SELECT span_id FROM sa) AND span_id NOT IN (SELECT span_id FROM ag) AS hit FROM pr)
+SELECT span_id, attribution_id, CASE WHEN hit THEN 'assign' ELSE decision END AS decision, hit AS location_rule FROM r""")
 register("dec05_thresholds", lambda t: p.thresholds(_pr(t)).select("span_id", "attribution_id", "decision", "safe_promoted"), "attributions", f"""WITH {HP}, s AS (SELECT *, decision = 'assign' AND confidence >= 0.4::DOUBLE AND confidence < 0.75::DOUBLE AND anchored_contact AND strong_alias AS sp FROM pr)
 SELECT span_id, attribution_id, CASE WHEN sp THEN 'assign' WHEN confidence < 0.25::DOUBLE THEN 'none' WHEN decision = 'assign' AND confidence < 0.75::DOUBLE THEN 'review' ELSE decision END AS decision, sp AS safe_promoted FROM s""")
 register("dec06_commitment_gate", lambda t: p.commitment_gate(_pr(t), t.spans.selectExpr("span_id", "CASE WHEN word_count > 1500 THEN 'high' ELSE 'none' END AS prospect", "span_index % 2 = 0 AS committed")).select("span_id", "attribution_id", "project_id", "decision", "commitment_gated"), "attributions spans", f"""WITH {HP}, g AS (SELECT pr.*, coalesce(word_count > 1500 AND span_index % 2 <> 0, false) AS g FROM pr LEFT JOIN spans USING (span_id))

@@ -29,7 +29,6 @@ SELECT interaction_id, md5(CASE WHEN lo > 1 THEN '...' ELSE '' END || substr(tri
 register("txt08_truncate_around", lambda t: t.texts.select("interaction_id", F.md5(x.truncate_around(F.col("text"), F.lit(100), F.lit(301), 300)).alias("cut")), "texts", "SELECT interaction_id, md5(CASE WHEN length(text) <= 300 THEN text ELSE substr(text, CAST(greatest(1, least(floor(401 / 2.0 - 150), length(text) - 299)) AS INT), 300) END) AS cut FROM texts")
 register("txt09_normalize_phone", lambda t: t.contacts.select("id", x.normalize_phone(F.col("phone")).alias("p1"), x.normalize_phone(F.col("secondary_phone")).alias("p2")), "contacts", "SELECT id, right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS p1, right(regexp_replace(secondary_phone, '[^0-9]', '', 'g'), 10) AS p2 FROM contacts")
 register("txt10_extract_amounts", lambda t: t.orders.selectExpr("o_orderkey", "'about $' || CAST(CAST(o_totalprice AS BIGINT) AS STRING) || CASE WHEN o_orderkey % 2 = 0 THEN 'k and ' ELSE ' and ' END || CAST(o_custkey AS STRING) || ' dollars' AS text").select("o_orderkey", F.aggregate(x.extract_amounts(F.col("text")), F.lit(0.0), lambda a, b: a + b).alias("total")), "", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) * CASE WHEN o_orderkey % 2 = 0 THEN 1000.0::DOUBLE ELSE 1.0::DOUBLE END + o_custkey AS total FROM orders")
-register("txt14_high_signal_terms", lambda t: x.high_signal_terms(t.texts, "interaction_id"))
 register("txt16_normalize_quote", lambda t: t.texts.select("interaction_id", F.md5(x.normalize_quote(F.col("text"))).alias("q")), "texts", "SELECT interaction_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), '‘’“”–— ', '''''\"\"-- '), '[''\"]', '', 'g'), '-', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))) AS q FROM texts")
 register("txt17_verify_quotes", lambda t: x.verify_quotes(t.turns.select(F.concat_ws("-", "interaction_id", "turn").alias("anchor_id"), F.expr("replace(substr(text, 20, 40), 'e', 'a')").alias("quote"), "text")))
 register("txt18_extract_speakers", lambda t: x.extract_speakers(_calls(t)), "turns", f"WITH {TURNS}, l AS (SELECT interaction_id, regexp_extract(unnest(string_split(text, chr(10))), '^\\s*([A-Za-z][A-Za-z .''-]{{0,40}}):', 1) AS speaker FROM tr) SELECT interaction_id, speaker, count(*) AS n_lines FROM l WHERE speaker <> '' GROUP BY 1, 2")
