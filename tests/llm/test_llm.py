@@ -190,6 +190,27 @@ def test_topk_odd(spark):
     assert topk.top_k(v.where("vec_id < 0"), v.where("vec_id < 0")).count() == 0
 
 
+def test_topk_numbered_rows(spark):
+    """Rows that repeat a vec_id are queries and candidates of their own."""
+    rows = [(50, [1, 2], 0), (50, [3, -1], 1), (50, [3, -1], 2), (1, [2, 2], 3), (2, [2, 2], 4), (100, [-1, 5], 5)]
+    v = spark.createDataFrame(rows, "vec_id long, w array<long>, row long")
+    want = []
+    for q, x, n in rows:
+        if q % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(x, y)), c) for c, y, m in rows if m != n)[:3]
+            want += [(q, k + 1, c, -z) for k, (z, c) in enumerate(s)]
+    for wave in (32 << 20, 40):
+        got = topk.top_k(v, v.where("vec_id % 50 = 0"), 3, wave).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_topk_refuses_what_would_overflow(spark):
+    df = spark.createDataFrame([(1, [262144.0])], "vec_id long, embedding array<double>")
+    assert topk.whole_weights(df).first().w == [1 << 26]
+    with pytest.raises(Exception, match="after scaling"):
+        topk.whole_weights(spark.createDataFrame([(1, [1e12])], "vec_id long, embedding array<double>")).collect()
+
+
 # --- passages
 
 
