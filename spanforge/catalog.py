@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .registered import ORACLES, QUERIES, aliases, candidates, entity, evidence, further, ingest, ledger, metrics, more, review, streams, terms, text
+from .registered import ORACLES, QUERIES, aliases, candidates, entity, evidence, further, ingest, ledger, metrics, more, parts, review, streams, terms, text
 
-__all__ = ["ORACLES", "QUERIES", "aliases", "candidates", "entity", "evidence", "further", "ingest", "ledger", "metrics", "more", "review", "streams", "terms", "text"]
+__all__ = ["ORACLES", "QUERIES", "aliases", "candidates", "entity", "evidence", "further", "ingest", "ledger", "metrics", "more", "parts", "review", "streams", "terms", "text"]

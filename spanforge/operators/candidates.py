@@ -44,6 +44,12 @@ def from_terms(spans: DataFrame, aliases: DataFrame, longest: int | None = None,
     return evidence(rows, "transcript_terms", strong=match_strength(F.col("kind"), F.col("term")), text=F.concat_ws(":", "kind", "term", "first_token"))
 
 
+def from_alias_scan(scans: DataFrame, key: str = "interaction_id") -> DataFrame:
+    """Projects that an alias scan found in a text, weighted by the best score; evidence is the alias it has it from."""
+    best = scans.groupBy(F.col(key).alias("span_id"), "project_id").agg(F.max("score").alias("score"), F.max_by("alias", F.struct("score", "alias")).alias("alias"))
+    return evidence(best, "alias_scan", weight=F.col("score"), text=F.col("alias"))
+
+
 def from_geo(places: DataFrame, projects: DataFrame, km: float = 50.0, nearest: int = 5) -> DataFrame:
     """The nearest projects of a span's places: nearer and directed mentions score more.
 
