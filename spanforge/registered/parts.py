@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates as c
 from ..operators import entity as e
+from ..operators import package as p
 from . import register
 
 CALLS = "SELECT id AS span_id, claim_text AS text FROM {c}"
@@ -36,3 +37,30 @@ WITH tx AS (SELECT interaction_id, text, list_filter(string_split_regex(text, '[
 ni(name, grp) AS (VALUES {_ROWS(NICK)}), x AS (SELECT *, split_part(lower(name_a), ' ', 1) AS fa, split_part(lower(name_b), ' ', 1) AS fb, split_part(lower(name_a), ' ', 2) = split_part(lower(name_b), ' ', 2) AS same FROM pa),
 y AS (SELECT *, lower(name_a) = lower(name_b) AS exact, same AND (EXISTS (SELECT 1 FROM ni p JOIN ni q ON p.grp = q.grp WHERE p.name = fa AND q.name = fb) OR (length(fa) > 3 AND length(fb) > 3 AND jaro_winkler_similarity(fa, fb) >= 0.85)) AS near FROM x)
 SELECT pair_id, CASE WHEN conflict THEN 'BLOCK' WHEN (exact OR near) AND anchored THEN 'AUTO_MERGE' WHEN exact OR near THEN 'SUGGEST' ELSE 'REJECT' END AS gate FROM y""")
+
+PARTS = {
+    "attributions": "SELECT interaction_id AS span_id, -confidence AS order_by, project_id, decision, CAST(round(confidence * 100) AS INT) AS percent FROM {attributions} WHERE project_id IS NOT NULL",
+    "claims": "SELECT call_id AS span_id, -char_start AS order_by, id, claim_type, claim_text FROM {claims} WHERE active AND char_start IS NOT NULL",
+    "loops": "SELECT call_id AS span_id, 0 AS order_by, id, loop_type FROM {loops} WHERE status = 'open'",
+    "reviews": "SELECT interaction_id AS span_id, -hit_count AS order_by, reason, status FROM {review_queue}",
+}
+OWN = "SELECT interaction_id AS span_id, channel, contact_id, coalesce(project_id, 'none') AS project_id FROM {interactions}"
+_FIELDS = {"attributions": "project_id decision percent", "claims": "id claim_type claim_text", "loops": "id loop_type", "reviews": "reason status"}
+
+
+def _packages(t):
+    table = lambda sql, name: t.spark.sql(sql, **{name: getattr(t, name)})
+    parts = {k: table(sql, "review_queue" if k == "reviews" else k).withColumnRenamed("order_by", "order") for k, sql in PARTS.items()}
+    return p.context_package(table(OWN, "interactions"), parts, {"attributions": 3, "claims": 2, "loops": 5, "reviews": 2})
+
+
+def _json(fields: str) -> str:
+    return "CAST(to_json(struct_pack(" + ", ".join(f"{f} := {f}" for f in fields.split()) + ")) AS VARCHAR)"
+
+
+_MOST = {"attributions": 3, "claims": 2, "loops": 5, "reviews": 2}
+_LISTS = ",\n".join(f"r_{k} AS (SELECT span_id, {_json(_FIELDS[k])} AS j, order_by FROM ({sql.format(**{n: n for n in ('attributions', 'claims', 'loops', 'review_queue')})})), l_{k} AS (SELECT span_id, string_agg(j, ',' ORDER BY n) AS s FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY order_by, j) AS n FROM r_{k}) WHERE n <= {_MOST[k]} GROUP BY 1)" for k, sql in PARTS.items())
+_TEXT = " || ".join(f"',\"{k}\":[' || coalesce(l_{k}.s, '') || ']'" for k in PARTS)
+register("cnd23_context_package", _packages, "interactions attributions claims loops review_queue", f"""
+WITH {_LISTS}, o AS (SELECT span_id, {_json("span_id channel contact_id project_id")} AS j FROM ({OWN.format(interactions="interactions")}))
+SELECT o.span_id, chr(123) || '"span":' || j || {_TEXT} || chr(125) AS package FROM o {" ".join(f"LEFT JOIN l_{k} ON l_{k}.span_id = o.span_id" for k in PARTS)}""")

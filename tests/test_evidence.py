@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.operators import candidates, facts, probe
+from spanforge.operators import candidates, facts, package, probe
 from spanforge.sources import loaders
 
 VECTOR = "id long, project_id string, embedding array<double>, active boolean, claim_text string, created_at int"
@@ -134,3 +134,16 @@ def test_fact_lines(spark, tmp_path):
     assert [json.loads(r.fact_payload) for r in good.collect()] == [{"a": [1, 2]}] * 2
     assert sorted(r.reason for r in bad.collect()) == sorted(["no_project", "invalid_as_of_at", "invalid_observed_at", "observed_before_it_held", "no_kind", "no_payload", "invalid_source_places", "invalid_source_places", "unreadable"])
     assert loaders.load_facts_jsonl(spark, str(tmp_path / "f.jsonl"), uuids=True)[0].count() == 0
+
+
+# --- packages
+
+
+def test_context_package(spark):
+    spans = spark.createDataFrame([("1", "call"), ("2", None)], "span_id string, channel string")
+    a = spark.createDataFrame([("1", 2.0, "x"), ("1", 1.0, "y"), ("1", 3.0, "z"), ("9", 0.0, "other"), (None, 0.0, "lost")], "span_id string, order double, id string")
+    b = spark.createDataFrame([("2", 0, 7), ("2", 0, 5)], "span_id string, order int, n int")
+    got = {r.span_id: json.loads(r.package) for r in package.context_package(spans, {"a": a, "b": b}, {"a": 2, "b": 5}).collect()}
+    assert got == {"1": {"span": {"span_id": "1", "channel": "call"}, "a": [{"id": "y"}, {"id": "x"}], "b": []}, "2": {"span": {"span_id": "2"}, "a": [], "b": [{"n": 5}, {"n": 7}]}}
+    plan = package.context_package(spans, {"a": a, "b": b})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
