@@ -101,19 +101,33 @@ def normalize_duration(seconds: Column) -> Column:
     return F.when(seconds <= 0, None).when(seconds > 10000, seconds / 1000.0).otherwise(seconds)
 
 
-#: Words of calls without content and words of substance.
-VOICEMAIL = r"\b(leave (a|your) message|voicemail|after the (tone|beep)|not available to take your call)\b"
-FAILED = r"\b(can you hear me|you('re| are) breaking up|bad connection|call (was )?dropped|wrong number)\b"
-SUBSTANCE = r"\b(schedule|invoice|permit|deliver|estimate|payment|contract|inspection|order|quote)\w*\b"
-
-
-def junk_prefilter(calls: DataFrame) -> DataFrame:
-    """Reason codes of calls without content; ``calls`` has interaction_id, text, duration_seconds."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    n, turns = F.size(tokens(low)), F.regexp_count(low, F.lit(r"(?m)^[a-z][a-z .'-]{0,40}:"))
-    substance, d = low.rlike(SUBSTANCE), normalize_duration(F.col("duration_seconds"))
-    codes = F.array_compact(F.array(F.when((n <= 80) & low.rlike(VOICEMAIL), "voicemail"), F.when((n <= 40) & low.rlike(FAILED) & ~substance, "connection_failure"), F.when((n < 20) & ((turns <= 1) | F.coalesce(d < 15, F.lit(False))) & ~substance, "minimal_content")))
-    return calls.select("interaction_id", n.alias("words"), F.concat_ws(",", codes).alias("codes"), (F.size(codes) > 0).alias("junk"))
+#: Phrases of calls that reached a voicemail or failed, by code, and words that show substance.
+VOICEMAIL = {
+    "voicemail_leave_message": r"\bleave (?:me )?(?:a )?message\b", "voicemail_mailbox_full": r"\bmailbox is (?:full|not set up)\b", "voicemail_not_available": r"\b(?:cannot|can't|unable to)\s+take your call\b",
+    "voicemail_after_tone": r"\bafter the tone\b", "voicemail_record_message": r"\bplease record your message\b",
+}
+CONNECTION = {"connection_bad_service": r"\bbad service\b", "connection_call_dropped": r"\bcall (?:dropped|failed|disconnected)\b", "connection_cant_hear": r"\b(?:can you|can't|cannot)\s+hear (?:me|you)\b"}
+SUBSTANCE = (r"\bestimate\b", r"\bproposal\b", r"\bcontract\b", r"\binvoice\b", r"\bdeposit\b", r"\bpermit\b", r"\bschedule\b", r"\bchange order\b", r"\binstall(?:ation)?\b", r"\bcabinets?\b", r"\bcountertops?\b", r"\btile\b", r"\bplumbing\b", r"\belectrical\b", r"\$\s*\d+")
+TURN = r"(?:^|\n)\s*[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s*:"
+
+
+def junk_prefilter(calls: DataFrame, voicemail: dict[str, str] = VOICEMAIL, connection: dict[str, str] = CONNECTION, substance: tuple[str, ...] = SUBSTANCE, least_words: int = 20, short_seconds: int = 15, voicemail_words: int = 80, failure_words: int = 40) -> DataFrame:
+    """Whether a call has no content, why, and the signals; ``calls`` has interaction_id, text, duration_seconds.
+
+    Junk are voicemails of up to ``voicemail_words`` words, failed connections
+    of up to ``failure_words`` and calls of under ``least_words`` with one turn
+    at most or under ``short_seconds``; the last two only without a word of
+    substance. Empty texts are no junk. Reason codes stand in the order of the rules.
+    """
+    text = F.trim(F.coalesce("text", F.lit("")))
+    hits = lambda family: F.array_compact(F.array(*(F.when(F.regexp_like("_t", F.lit(f"(?i){p}")), code) for code, p in family.items())))
+    seconds = F.floor(normalize_duration(F.col("duration_seconds")) + 0.5)
+    rows = calls.withColumn("_t", text).select("interaction_id", F.regexp_count("_t", F.lit("(?i)[a-z0-9']+")).alias("words"), F.regexp_count("_t", F.lit(TURN)).alias("turns"), seconds.alias("seconds"), hits(voicemail).alias("_v"), hits(connection).alias("_c"), F.regexp_like("_t", F.lit(f"(?i){'|'.join(substance)}")).alias("substantive"))
+    n, few, single, short = F.col("words"), (F.col("words") > 0) & (F.col("words") < least_words), F.col("turns") <= 1, F.coalesce(F.col("seconds") < short_seconds, F.lit(False))
+    v, c = (F.size("_v") > 0) & (n <= voicemail_words), (F.size("_c") > 0) & (n <= failure_words) & ~F.col("substantive")
+    junk = v | c | (few & (single | short) & ~F.col("substantive"))
+    codes = F.array_compact(F.array(F.lit("junk_call_filtered"), F.when(v, "voicemail_pattern"), F.when(c, "connection_failure_pattern"), F.when(few, "low_word_count"), F.when(single, "single_speaker_turn"), F.when(short, "short_duration")))
+    return rows.select("interaction_id", "words", "turns", "seconds", "substantive", F.concat_ws("|", F.concat("_v", "_c")).alias("hits"), junk.alias("junk"), F.when(junk, F.concat_ws(",", codes)).otherwise("").alias("codes"))
 
 
 def classify_prospect(calls: DataFrame, evidence: tuple[str, ...], commitment: tuple[str, ...]) -> DataFrame:

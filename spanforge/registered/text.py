@@ -32,10 +32,13 @@ register("txt10_extract_amounts", lambda t: t.orders.selectExpr("o_orderkey", "'
 register("txt16_normalize_quote", lambda t: t.texts.select("interaction_id", F.md5(x.normalize_quote(F.col("text"))).alias("q")), "texts", "SELECT interaction_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), '‘’“”–— ', '''''\"\"-- '), '[''\"]', '', 'g'), '-', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))) AS q FROM texts")
 register("txt17_verify_quotes", lambda t: x.verify_quotes(t.turns.select(F.concat_ws("-", "interaction_id", "turn").alias("anchor_id"), F.expr("replace(substr(text, 20, 40), 'e', 'a')").alias("quote"), "text")))
 register("txt18_extract_speakers", lambda t: x.extract_speakers(_calls(t)), "turns", f"WITH {TURNS}, l AS (SELECT interaction_id, regexp_extract(unnest(string_split(text, chr(10))), '^\\s*([A-Za-z][A-Za-z .''-]{{0,40}}):', 1) AS speaker FROM tr) SELECT interaction_id, speaker, count(*) AS n_lines FROM l WHERE speaker <> '' GROUP BY 1, 2")
-register("txt19_junk_prefilter", lambda t: x.junk_prefilter(t.texts.withColumn("duration_seconds", (F.length("text") * 7 % 20000).cast("double"))).select("interaction_id", "words", "junk"), "texts", """
-WITH a AS (SELECT interaction_id, len(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '')) AS words, length(text) * 7 % 20000 AS d0, len(regexp_extract_all(lower(text), '(?m)^[a-z][a-z .''-]{0,40}:')) AS turns,
- regexp_matches(lower(text), '\\b(schedule|invoice|permit|deliver|estimate|payment|contract|inspection|order|quote)\\w*\\b') AS sub FROM texts), b AS (SELECT *, CASE WHEN d0 <= 0 THEN NULL WHEN d0 > 10000 THEN d0 / 1000.0 ELSE d0 END AS d FROM a)
-SELECT interaction_id, CAST(words AS INT) AS words, words < 20 AND (turns <= 1 OR coalesce(d < 15, false)) AND NOT sub AS junk FROM b""")
+CALLED = "SELECT interaction_id || '-' || CAST(turn AS STRING) AS interaction_id, CASE length(text) % 7 WHEN 0 THEN 'Hi: please leave a message after the tone. ' WHEN 1 THEN 'Can you hear me? Call dropped ' WHEN 2 THEN 'the estimate, call failed ' WHEN 3 THEN 'Ann Lee: yes' || chr(10) || 'Bo: no ' ELSE '' END || text AS text, CAST(length(text) * 7 % 20000 AS DOUBLE) AS duration_seconds FROM {t}"
+_ANY = lambda family: " || ".join(f"CASE WHEN regexp_matches(text, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN '{code}|' ELSE '' END" for code, p in family.items())
+register("txt19_junk_prefilter", lambda t: x.junk_prefilter(t.spark.sql(CALLED, t=t.turns)), "turns", f"""
+WITH a AS ({CALLED.format(t="turns")}), b AS (SELECT interaction_id, len(regexp_extract_all(text, '(?i)[a-z0-9'']+')) AS words, len(regexp_extract_all(trim(text), '{x.TURN}')) AS turns, CAST(floor(CASE WHEN duration_seconds <= 0 THEN NULL WHEN duration_seconds > 10000 THEN duration_seconds / 1000.0::DOUBLE ELSE duration_seconds END + 0.5) AS BIGINT) AS seconds,
+  regexp_matches(text, '(?i){"|".join(x.SUBSTANCE)}') AS substantive, {_ANY(x.VOICEMAIL)} AS v, {_ANY(x.CONNECTION)} AS c FROM a),
+f AS (SELECT *, words > 0 AND words < 20 AS few, coalesce(seconds < 15, false) AS short, v <> '' AND words <= 80 AS jv, c <> '' AND words <= 40 AND NOT substantive AS jc FROM b), g AS (SELECT *, jv OR jc OR (few AND (turns <= 1 OR short) AND NOT substantive) AS junk FROM f)
+SELECT interaction_id, CAST(words AS INT) AS words, CAST(turns AS INT) AS turns, seconds, substantive, rtrim(v || c, '|') AS hits, junk, CASE WHEN junk THEN concat_ws(',', 'junk_call_filtered', CASE WHEN jv THEN 'voicemail_pattern' END, CASE WHEN jc THEN 'connection_failure_pattern' END, CASE WHEN few THEN 'low_word_count' END, CASE WHEN turns <= 1 THEN 'single_speaker_turn' END, CASE WHEN short THEN 'short_duration' END) ELSE '' END AS codes FROM g""")
 register("txt20_normalize_duration", lambda t: t.events.select("event_id", x.normalize_duration(F.expr("value * 300 - 100")).alias("s")), "", "SELECT event_id, CASE WHEN value * 300 - 100 <= 0 THEN NULL WHEN value * 300 - 100 > 10000 THEN (value * 300 - 100) / 1000.0::DOUBLE ELSE value * 300 - 100 END AS s FROM events")
 register("txt21_classify_prospect", lambda t: x.classify_prospect(t.texts, (r"(^|[^\p{L}])the([^\p{L}]|$)", r"(^|[^\p{L}])der([^\p{L}]|$)", r"(^|[^\p{L}])and([^\p{L}]|$)"), (r"(^|[^\p{L}])que([^\p{L}]|$)",)), "texts", r"""
 WITH a AS (SELECT interaction_id, CAST(regexp_matches(lower(text), '(^|[^\p{L}])the([^\p{L}]|$)') AS INT) + CAST(regexp_matches(lower(text), '(^|[^\p{L}])der([^\p{L}]|$)') AS INT) + CAST(regexp_matches(lower(text), '(^|[^\p{L}])and([^\p{L}]|$)') AS INT) AS e, regexp_matches(lower(text), '(^|[^\p{L}])que([^\p{L}]|$)') AS committed FROM texts)

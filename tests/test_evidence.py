@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanforge.functions.text import junk_prefilter
 from spanforge.operators import candidates, facts, package, probe
 from spanforge.sources import loaders
 
@@ -147,3 +148,16 @@ def test_context_package(spark):
     assert got == {"1": {"span": {"span_id": "1", "channel": "call"}, "a": [{"id": "y"}, {"id": "x"}], "b": []}, "2": {"span": {"span_id": "2"}, "a": [], "b": [{"n": 5}, {"n": 7}]}}
     plan = package.context_package(spans, {"a": a, "b": b})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("said, seconds, junk, codes", [
+    ("Hi, please leave a message after the tone. Mailbox is full.", None, True, ["junk_call_filtered", "voicemail_pattern", "low_word_count", "single_speaker_turn"]),
+    ("Can you hear me now? Bad service. Call dropped.", 9.0, True, ["connection_failure_pattern", "short_duration"]),
+    ("Can you send the estimate and schedule install tomorrow?", 12.0, False, []),
+    ("Call dropped, but the invoice " + "word " * 12, None, False, []),
+    ("Ann: hello there\nBo Lee: good day", 60.0, False, []), ("Ann: hello there\nBo Lee: good day", 9400.0, False, []), ("Ann: hello there\nBo Lee: good day", 12400.0, True, ["short_duration"]),
+    ("please leave a message " + "word " * 90, None, False, []), ("", 3.0, False, []), (None, None, False, []),
+])
+def test_junk_by_family(spark, said, seconds, junk, codes):
+    (r,) = junk_prefilter(spark.createDataFrame([("i", said, seconds)], "interaction_id string, text string, duration_seconds double")).collect()
+    assert r.junk == junk and set(codes) <= set(r.codes.split(","))
