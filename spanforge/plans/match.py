@@ -83,14 +83,16 @@ def similar(left: DataFrame, right: DataFrame, a: str, b: str, least: float, set
         head = F.slice(order, F.lit(1), (size - F.ceil(size * F.lit(least) - 1e-9) + 1).cast("int"))
         bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(g), F.lit(64)))
         bits = F.aggregate("_g", F.lit(0).cast("long"), lambda all_, g: all_.bitwiseOR(bit(g)))
-        return df.select(c, F.col("_g").alias(to), size.alias(f"{to}n"), bits.alias(f"{to}b"), F.explode(head).alias("_k"))
+        return df.select(c, size.alias(f"{to}n"), bits.alias(f"{to}b"), F.explode(head).alias("_k"))
 
     n, m = F.col("_xn"), F.col("_yn")
     # Trigrams in common have common bits, but for those that share a bit with others of their set.
     most = F.bit_count(F.col("_xb").bitwiseAND(F.col("_yb"))) + F.least(n - F.bit_count("_xb"), m - F.bit_count("_yb"))
     met = filed(x, a, "_x").join(filed(y, b, "_y"), "_k").where((n >= m * least - 1e-9) & (m >= n * least - 1e-9) & (most >= (n + m) * (least / (1 + least)) - 1e-9))
-    both = F.size(F.array_intersect("_x", "_y"))
-    return met.select(a, b, (both / (n + m - both)).alias("similarity")).where(F.col("similarity") >= least).distinct()
+    # What is left is little: its sets are made again rather than carried through the join.
+    left_pairs = met.select(a, b, "_xn", "_yn").distinct()
+    both = F.size(F.array_intersect(sets(F.col(a)), sets(F.col(b))))
+    return left_pairs.select(a, b, (both / (n + m - both)).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def trigram_join(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
