@@ -261,3 +261,12 @@ def belief_snapshot(claims: DataFrame, loops: DataFrame, as_of: Column, top: int
     lw = Window.partitionBy("project_id").orderBy("created_at", "id")
     open_loops = loops.where((F.col("status") == "open") & (F.col("created_at") <= as_of)).withColumn("_n", F.row_number().over(lw)).where("_n <= 10").groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("rank"), "id", "loop_type"))).alias("open_loops"))
     return c.join(open_loops, "project_id", "left").select("project_id", F.size("claims").alias("n_claims"), F.to_json(F.struct("claims", "open_loops")).alias("snapshot"))
+
+
+def recovered_claims_proof(spans: DataFrame, claims: DataFrame) -> DataFrame:
+    """One row on the active claims of the given spans: spans, claims, those with a pointer, and surplus rows of equal claims."""
+    own = claims.where("active").join(spans.select(F.col("span_id").alias("source_span_id")).distinct(), "source_span_id", "left_semi")
+    pointed = F.col("char_start").isNotNull() & F.col("char_end").isNotNull() & (F.col("pointer_type") == "transcript_span")
+    per = own.groupBy("call_id", "source_span_id", "claim_type", "claim_text").agg(F.count("*").alias("n"), F.count_if(pointed).alias("p"))
+    sums = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("recovered_claims"), F.coalesce(F.sum("p"), F.lit(0)).alias("with_pointer"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_key_rows"))
+    return spans.agg(F.countDistinct("span_id").alias("target_spans")).crossJoin(sums)

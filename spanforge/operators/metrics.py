@@ -291,3 +291,21 @@ def invalid_keyword_json(df: DataFrame, column: str) -> DataFrame:
 def non_postable_codes(used: DataFrame, codes: DataFrame) -> DataFrame:
     """Codes in use that are no postable code, with how often."""
     return used.where("code IS NOT NULL").join(codes.where("code_type = 'COST_CODE'"), "code", "left_anti").groupBy("code").agg(F.count("*").alias("n"))
+
+
+def pending_null_span(queue: DataFrame) -> DataFrame:
+    """Pending review rows without a span, counted by module and reason."""
+    return queue.where("status = 'pending' AND span_id IS NULL").groupBy("module", "reason").agg(F.count("*").alias("n"), F.min("created_at").alias("oldest"))
+
+
+def pending_superseded(queue: DataFrame, spans: DataFrame) -> DataFrame:
+    """Pending review rows whose span has been superseded."""
+    return queue.where("status = 'pending'").join(spans.where("is_superseded").select("span_id", "segment_generation"), "span_id").select("id", "interaction_id", "span_id", "segment_generation", "created_at")
+
+
+def financial_coverage(interactions: DataFrame) -> DataFrame:
+    """Per channel how many interactions have a financial JSON, by its inference status, and their share in percent."""
+    status, has = F.get_json_object("financial_json", "$.inference_status"), F.col("financial_json").isNotNull()
+    by = [F.count_if(status == s).alias(s) for s in ("auto_assigned", "flagged_for_review", "no_inference")]
+    rows = interactions.groupBy("channel").agg(F.count("*").alias("total"), F.count_if(has).alias("with_json"), *by, F.count_if(~has).alias("pending"))
+    return rows.withColumn("coverage_pct", F.round(100.0 * F.col("with_json") / F.col("total"), 1))

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates as c
 from ..operators import entity as e
+from ..operators import ledger as l
+from ..operators import metrics as m
 from ..operators import package as p
 from . import register
 
@@ -64,3 +66,14 @@ _TEXT = " || ".join(f"',\"{k}\":[' || coalesce(l_{k}.s, '') || ']'" for k in PAR
 register("cnd23_context_package", _packages, "interactions attributions claims loops review_queue", f"""
 WITH {_LISTS}, o AS (SELECT span_id, {_json("span_id channel contact_id project_id")} AS j FROM ({OWN.format(interactions="interactions")}))
 SELECT o.span_id, chr(123) || '"span":' || j || {_TEXT} || chr(125) AS package FROM o {" ".join(f"LEFT JOIN l_{k} ON l_{k}.span_id = o.span_id" for k in PARTS)}""")
+
+register("led25_recovered_claims_proof", lambda t: l.recovered_claims_proof(t.review_queue.where("status = 'pending' AND span_id IS NOT NULL").select("span_id"), t.claims), "review_queue claims", """
+WITH s AS (SELECT DISTINCT span_id FROM review_queue WHERE status = 'pending' AND span_id IS NOT NULL), c AS (SELECT * FROM claims WHERE active AND source_span_id IN (SELECT span_id FROM s)),
+d AS (SELECT count(*) AS n FROM c GROUP BY call_id, source_span_id, claim_type, claim_text HAVING count(*) > 1)
+SELECT (SELECT count(*) FROM s) AS target_spans, (SELECT count(*) FROM c) AS recovered_claims, (SELECT count(*) FROM c WHERE char_start IS NOT NULL AND char_end IS NOT NULL AND pointer_type = 'transcript_span') AS with_pointer, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM d) AS duplicate_key_rows""")
+register("met15_pending_null_span", lambda t: m.pending_null_span(t.review_queue), "review_queue", "SELECT module, reason, count(*) AS n, min(created_at) AS oldest FROM review_queue WHERE status = 'pending' AND span_id IS NULL GROUP BY 1, 2")
+register("met15_pending_superseded", lambda t: m.pending_superseded(t.review_queue, t.spans), "review_queue spans", "SELECT q.id, q.interaction_id, q.span_id, segment_generation, q.created_at FROM review_queue q JOIN spans s USING (span_id) WHERE status = 'pending' AND is_superseded")
+MONEY = "SELECT channel, CASE WHEN transcript_chars % 5 = 0 THEN NULL ELSE chr(123) || '\"inference_status\":\"' || CASE transcript_chars % 4 WHEN 0 THEN 'auto_assigned' WHEN 1 THEN 'flagged_for_review' WHEN 2 THEN 'no_inference' ELSE 'other' END || '\"' || chr(125) END AS financial_json FROM {i}"
+register("met34_financial_coverage", lambda t: m.financial_coverage(t.spark.sql(MONEY, i=t.interactions)), "interactions", f"""
+WITH f AS (SELECT channel, json_extract_string(financial_json, '$.inference_status') AS s, financial_json IS NOT NULL AS h FROM ({MONEY.format(i="interactions")}))
+SELECT channel, count(*) AS total, count(*) FILTER (h) AS with_json, count(*) FILTER (s = 'auto_assigned') AS auto_assigned, count(*) FILTER (s = 'flagged_for_review') AS flagged_for_review, count(*) FILTER (s = 'no_inference') AS no_inference, count(*) FILTER (NOT h) AS pending, round(100.0::DOUBLE * count(*) FILTER (h) / count(*), 1) AS coverage_pct FROM f GROUP BY 1""")
