@@ -25,6 +25,7 @@ SELECT span_id, projects.id AS project_id, CASE WHEN count(*) OVER (PARTITION BY
 register("cnd27_contamination_audit", lambda t: c.contamination_audit(t.interactions.withColumn("contact_id", F.when(F.col("channel") != "sms", F.col("contact_id"))), t.attributions.select("interaction_id", "project_id", F.col("confidence").alias("score")).where("project_id IS NOT NULL")), "interactions attributions", """
 SELECT i.interaction_id, i.project_id AS own, count(DISTINCT a.project_id) AS others, string_agg(DISTINCT a.project_id, ',' ORDER BY a.project_id) AS other_projects
 FROM interactions i JOIN attributions a ON a.interaction_id = i.interaction_id AND a.project_id <> i.project_id WHERE channel = 'sms' AND i.project_id IS NOT NULL AND confidence >= 0.5::DOUBLE GROUP BY 1, 2""")
+# The other engine compares bytes: letters beyond ASCII stand as one sign each.
 NICK = [("that", 1), ("than", 1), ("der", 2), ("die", 2), ("les", 3), ("des", 3)]
 PAIRS = "SELECT interaction_id AS pair_id, w[{a}] || ' ' || w[{b}] AS name_a, replace(w[{a}], 'e', 'a') || ' ' || CASE WHEN length(text) % 4 = 0 THEN w[{a}] ELSE w[{b}] END AS name_b, length(text) % 3 <> 0 AS anchored, length(text) % 11 = 0 AS conflict FROM ({t}) WHERE {n} >= 3"
 
@@ -37,7 +38,7 @@ def _pairs(t):
 register("ent28_identity_merge_gate", lambda t: e.identity_merge_gate(_pairs(t), t.spark.createDataFrame(NICK, "name string, group int")).select("pair_id", "gate"), "texts", f"""
 WITH tx AS (SELECT interaction_id, text, list_filter(string_split_regex(text, '[^\\p{{L}}]+'), lambda v: v <> '') AS w FROM texts), pa AS ({PAIRS.format(a=1, b=2, t="SELECT * FROM tx", n="len(w)")}),
 ni(name, grp) AS (VALUES {_ROWS(NICK)}), x AS (SELECT *, split_part(lower(name_a), ' ', 1) AS fa, split_part(lower(name_b), ' ', 1) AS fb, split_part(lower(name_a), ' ', 2) = split_part(lower(name_b), ' ', 2) AS same FROM pa),
-y AS (SELECT *, lower(name_a) = lower(name_b) AS exact, same AND (EXISTS (SELECT 1 FROM ni p JOIN ni q ON p.grp = q.grp WHERE p.name = fa AND q.name = fb) OR (length(fa) > 3 AND length(fb) > 3 AND jaro_winkler_similarity(fa, fb) >= 0.85)) AS near FROM x)
+y AS (SELECT *, lower(name_a) = lower(name_b) AS exact, same AND (EXISTS (SELECT 1 FROM ni p JOIN ni q ON p.grp = q.grp WHERE p.name = fa AND q.name = fb) OR (length(fa) > 3 AND length(fb) > 3 AND jaro_winkler_similarity(translate(fa, 'éèêëçàáâíóúñäöüß', '0123456789!@#$%&'), translate(fb, 'éèêëçàáâíóúñäöüß', '0123456789!@#$%&')) >= 0.85)) AS near FROM x)
 SELECT pair_id, CASE WHEN conflict THEN 'BLOCK' WHEN (exact OR near) AND anchored THEN 'AUTO_MERGE' WHEN exact OR near THEN 'SUGGEST' ELSE 'REJECT' END AS gate FROM y""")
 
 PARTS = {
