@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,19 +47,30 @@ def expand_from_mentions(texts: DataFrame, contacts: DataFrame, affinity: DataFr
     ``least``. Quality is 100 for the full name, 80 for first and last name
     apart, 60 for the first name alone unless the text has the full name of
     another contact with it. ``texts`` has span_id and text.
+
+    Of the contacts that share a name only the best of each project is joined,
+    so output grows with spans, however many bear a name.
     """
     named = contacts.withColumn("_full", F.lower("name")).withColumn("_w", F.split("_full", " ")).withColumn("_first", F.get("_w", F.lit(0))).withColumn("_last", F.coalesce(F.get("_w", F.lit(1)), F.lit("")))
     top = affinity.groupBy(F.col("contact_id").alias("id")).agg(F.countDistinct("project_id").alias("_n"), F.max("weight").alias("weight"), F.min_by("project_id", F.struct(-F.col("weight"), F.col("project_id"))).alias("project_id"))
     profile = named.where("NOT coalesce(floats_between_projects, false)").join(top, "id").where((F.col("weight") >= least) | (F.col("_n") == 1)).select(F.col("id").alias("contact_id"), "_full", "_first", "_last", "weight", "project_id")
+    best = lambda *names: latest(profile, [*names, "project_id"], F.desc("weight"), F.col("contact_id")).select(*names, "project_id", "contact_id", "weight")
     # Each distinct word or name is looked for once.
     terms = named.select(F.explode(F.array("_full", "_first", "_last")).alias("term")).where("term <> ''").distinct()
-    hits = find_terms(texts, terms, "span_id").select("span_id", "term")
-    by = lambda c: hits.join(profile, F.col("term") == F.col(c)).select("span_id", "contact_id", *(F.lit(x == c).alias(x[1:]) for x in ("_full", "_first", "_last")))
-    found = by("_full").unionByName(by("_first")).unionByName(by("_last")).groupBy("span_id", "contact_id").agg(*(F.bool_or(x).alias(x) for x in ("full", "first", "last")))
-    others = hits.join(named.where("length(_first) >= 4").select("_full", "_first", "_last").distinct(), F.col("term") == F.col("_full")).where("_last <> ''").groupBy("span_id", "_first").agg(F.collect_set("_last").alias("_lasts"))
-    rows = found.join(profile, "contact_id").join(others, ["span_id", "_first"], "left")
-    alone = (F.length("_first") >= 4) & F.col("first") & (F.size(F.coalesce(F.array_remove("_lasts", F.col("_last")), F.array())) == 0)
-    rows = rows.withColumn("quality", F.when(F.col("full"), 100).when((F.length("_last") >= 3) & F.col("first") & F.col("last"), 80).when(alone, 60)).where("quality IS NOT NULL")
+    hits = find_terms(texts, terms, "span_id").select("span_id", "term").distinct()
+    as_ = lambda c: hits.withColumnRenamed("term", c)
+    names = profile.select("_first", "_last").distinct()
+    # The last names with which a text has a first name in full: none, one, or several, of which none stands alone.
+    whole = named.where("length(_first) >= 4 AND _last <> ''").select("_full", "_first", "_last").distinct()
+    others = as_("_full").join(whole, "_full").groupBy("span_id", "_first").agg(F.countDistinct("_last").alias("_m"), F.min("_last").alias("_only"))
+    alone = as_("_first").where("length(_first) >= 4").join(others, ["span_id", "_first"], "left")
+    ways = [
+        (100, as_("_full").join(best("_full"), "_full")),
+        (80, as_("_first").join(names.where("length(_last) >= 3"), "_first").join(as_("_last"), ["span_id", "_last"]).join(best("_first", "_last"), ["_first", "_last"])),
+        (60, alone.where("_m IS NULL").join(best("_first"), "_first")),
+        (60, alone.where("_m = 1").withColumnRenamed("_only", "_last").join(best("_first", "_last"), ["_first", "_last"])),
+    ]
+    rows = reduce(DataFrame.unionByName, (df.select("span_id", "project_id", "contact_id", "weight", F.lit(q).alias("quality")) for q, df in ways))
     return latest(rows, ["span_id", "project_id"], F.desc("quality"), F.desc("weight"), F.col("contact_id")).select("span_id", "project_id", "contact_id", "weight", "quality")
 
 
