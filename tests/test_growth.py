@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spanforge.operators import identity
+from spanforge.operators import candidates, entity, identity, more
 from spanforge.plans import match
 
 
@@ -50,3 +50,15 @@ def _joins(df):
         kids = node.children()
         todo += [kids.apply(i) for i in range(kids.size())]
     return found
+
+
+def most_met(df):
+    return max(int(x.metrics().apply("numOutputRows").value()) for x in _joins(df))
+
+
+def test_mail_is_counted_before_it_meets_spans(spark):
+    spans = spark.sql("SELECT id AS span_id, 'c' AS contact_id, TIMESTAMP_NTZ '2024-01-10' AS event_at_utc FROM range(60)")
+    mail = spark.sql("SELECT id AS message_id, 'c' AS contact_id, TIMESTAMP_NTZ '2024-01-01' + (n * 3) * INTERVAL 1 DAY AS sent_at FROM range(60), (SELECT explode(array(0, 1)) AS n)")
+    out = candidates.from_email_mentions(spans, mail, mail.selectExpr("message_id", "'p' AS project_id"))
+    assert {(r.project_id, r.evidence) for r in out.collect()} == {("p", "60")} and out.count() == 60
+    assert most_met(out) <= 120
