@@ -62,3 +62,11 @@ def test_mail_is_counted_before_it_meets_spans(spark):
     out = candidates.from_email_mentions(spans, mail, mail.selectExpr("message_id", "'p' AS project_id"))
     assert {(r.project_id, r.evidence) for r in out.collect()} == {("p", "60")} and out.count() == 60
     assert most_met(out) <= 120
+
+
+def test_spans_with_the_same_terms_meet_claims_once(spark):
+    claims = spark.sql("SELECT lpad(id, 3, '0') AS id, 'p' AS project_id, 'small bolt' AS claim_text, true AS active, 'confirmed' AS claim_confirmation_state FROM range(40)")
+    terms = spark.sql("SELECT id AS span_id, explode(array('small', 'Bolt')) AS term FROM range(50)")
+    out = candidates.from_cross_contact_claims(terms, claims, spark.createDataFrame([("p", "active", "client")], "id string, status string, project_kind string"))
+    assert out.count() == 50 and {(r.score, r.evidence) for r in out.collect()} == {(0.2, "40")}
+    assert most_met(out) <= 100
