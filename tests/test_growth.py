@@ -70,3 +70,10 @@ def test_spans_with_the_same_terms_meet_claims_once(spark):
     out = candidates.from_cross_contact_claims(terms, claims, spark.createDataFrame([("p", "active", "client")], "id string, status string, project_kind string"))
     assert out.count() == 50 and {(r.score, r.evidence) for r in out.collect()} == {(0.2, "40")}
     assert most_met(out) <= 100
+
+
+def test_projects_of_a_type_are_counted_once(spark):
+    projects = spark.createDataFrame([("1", "deck"), ("2", "deck"), ("3", "barn")], "id string, type string")
+    out = candidates.from_structural_type(spark.createDataFrame([(1, "a deck"), (2, "a barn")], "span_id int, text string"), spark.createDataFrame([("deck", "deck"), ("barn", "barn")], "term string, type string"), projects)
+    assert sorted((r.span_id, r.project_id, r.score) for r in out.collect()) == [(1, "1", 0.3), (1, "2", 0.3), (2, "3", 0.5)]
+    assert "Window" not in plan(out)
