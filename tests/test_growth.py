@@ -77,3 +77,11 @@ def test_projects_of_a_type_are_counted_once(spark):
     out = candidates.from_structural_type(spark.createDataFrame([(1, "a deck"), (2, "a barn")], "span_id int, text string"), spark.createDataFrame([("deck", "deck"), ("barn", "barn")], "term string, type string"), projects)
     assert sorted((r.span_id, r.project_id, r.score) for r in out.collect()) == [(1, "1", 0.3), (1, "2", 0.3), (2, "3", 0.5)]
     assert "Window" not in plan(out)
+
+
+def test_projects_of_a_trade_are_not_made_distinct_by_span(spark):
+    contacts = spark.createDataFrame([("Ann", "roof"), ("Bo", "tile"), ("Cy", None)], "name string, trade string")
+    links = spark.createDataFrame([("roof", "1", True), ("tile", "1", True), ("tile", "2", True), ("tile", "3", False)], "trade string, project_id string, is_active boolean")
+    out = more.other_party_trade(spark.createDataFrame([(1, "Ann and Bo"), (2, "ann"), (3, "Cy")], "span_id int, speaker string"), contacts, links)
+    assert sorted((r.span_id, r.project_id) for r in out.collect()) == [(1, "1"), (1, "2"), (2, "1")]
+    assert not out._jdf.queryExecution().optimizedPlan().nodeName().endswith("Aggregate")
