@@ -85,3 +85,10 @@ def test_projects_of_a_trade_are_not_made_distinct_by_span(spark):
     out = more.other_party_trade(spark.createDataFrame([(1, "Ann and Bo"), (2, "ann"), (3, "Cy")], "span_id int, speaker string"), contacts, links)
     assert sorted((r.span_id, r.project_id) for r in out.collect()) == [(1, "1"), (1, "2"), (2, "1")]
     assert not out._jdf.queryExecution().optimizedPlan().nodeName().endswith("Aggregate")
+
+
+def test_holders_of_an_alias_are_counted_once(spark):
+    contacts = spark.sql("SELECT id, 'N' || id AS name, CAST(NULL AS STRING) AS company, array('Bob') AS aliases FROM range(80)")
+    out = entity.contact_alias_collisions(contacts.selectExpr("id AS contact_id", "'bob' AS alias").union(spark.sql("SELECT 99L, 'BOB'")), contacts)
+    assert {(r.contact_id == 99, r.kind, r.n_contacts) for r in out.collect()} == {(False, "alias", 79), (True, "alias", 80)} and out.count() == 81
+    assert most_met(out) <= 200
