@@ -236,3 +236,8 @@ def test_find_terms_of_many_words(spark):
     terms = spark.createDataFrame([("p1", "Old Mill on Upper Creek Road West"), ("p2", "mill")], "project_id string, term string")
     assert {(r.id, r.project_id, r.first_token) for r in match.find_terms(texts, terms, "id").collect()} == {(1, "p1", 1), (1, "p2", 2), (2, "p2", 2)}
     assert match.find_terms(texts, terms.where("false"), "id").count() == 0
+
+
+def test_jaro_winkler_counts_whole_transpositions():
+    """Three characters out of place are one transposition, as in Winkler's own count."""
+    assert round(entity.jaro_winkler("èoumentan", "èoumantan"), 4) == 0.9306 and round(entity.jaro_winkler("rendatnd", "randatnd"), 4) == 0.8821
