@@ -13,11 +13,14 @@ PROPER = "list_distinct(list_filter(list_transform(range(2, len(w) + 1), lambda
 register("txt12_proper_nouns", lambda t: t.texts.select("interaction_id", F.size(x.extract_proper_nouns(F.col("text"), ("the", "and"))).alias("n")), "texts", f"""
 WITH s AS (SELECT interaction_id, string_split(text, ' ') AS w FROM texts) SELECT interaction_id, CAST(len(list_filter({PROPER}, lambda v: lower(v) NOT IN ('the', 'and'))) AS INTEGER) AS n FROM s""")
 
+# The other engine's word boundaries know ASCII only: words of all letters get a sign before and after them.
+_A, _Z = "\ue000", "\ue001"
+_WHOLE = "unnest(list_transform(regexp_extract_all(mk, '" + _A + "({})" + _Z + "', 1), lambda v: regexp_replace(v, '[" + _A + _Z + "]', '', 'g')))"
 register("txt14_high_signal_terms", lambda t: x.high_signal_terms(t.texts, "interaction_id"), "texts", f"""
-WITH s AS (SELECT interaction_id, text, lower(text) AS low, string_split(text, ' ') AS w FROM texts),
-r AS (SELECT interaction_id, unnest(regexp_extract_all(low, '\\b([0-9]{{2,5}} [a-z]+ (?:street|st|road|rd|lane|ln|drive|dr|avenue|ave))\\b', 1)) AS term, 100 AS score FROM s
-  UNION ALL SELECT interaction_id, unnest(regexp_extract_all(low, '(\\$ ?[0-9][0-9,]*)', 1)), 95 FROM s UNION ALL SELECT interaction_id, unnest(regexp_extract_all(low, '\\b([0-9]+ (?:feet|foot|inch|inches|yards|gallons|pieces|boxes|sheets))\\b', 1)), 90 FROM s
-  UNION ALL SELECT interaction_id, unnest(list_transform({PROPER}, lambda v: lower(v))), 88 FROM s UNION ALL SELECT interaction_id, unnest(regexp_extract_all(low, '\\b([a-z]{{1,4}}-?[0-9]{{3,6}})\\b', 1)), 82 FROM s
+WITH s AS (SELECT interaction_id, text, lower(text) AS low, string_split(text, ' ') AS w, regexp_replace(lower(text), '([\\p{{L}}\\p{{N}}_]+)', '{_A}\\1{_Z}', 'g') AS mk FROM texts),
+r AS (SELECT interaction_id, {_WHOLE.format('[0-9]{2,5}' + _Z + ' ' + _A + '[a-z]+' + _Z + ' ' + _A + '(?:street|st|road|rd|lane|ln|drive|dr|avenue|ave)')} AS term, 100 AS score FROM s
+  UNION ALL SELECT interaction_id, unnest(regexp_extract_all(low, '(\\$ ?[0-9][0-9,]*)', 1)), 95 FROM s UNION ALL SELECT interaction_id, {_WHOLE.format('[0-9]+' + _Z + ' ' + _A + '(?:feet|foot|inch|inches|yards|gallons|pieces|boxes|sheets)')}, 90 FROM s
+  UNION ALL SELECT interaction_id, unnest(list_transform({PROPER}, lambda v: lower(v))), 88 FROM s UNION ALL SELECT interaction_id, {_WHOLE.format('[a-z]{1,4}(?:' + _Z + '-' + _A + ')?[0-9]{3,6}')}, 82 FROM s
   UNION ALL SELECT interaction_id, v, 72 FROM (SELECT interaction_id, unnest(string_split_regex(low, '[^\\p{{L}}\\p{{N}}_]+')) AS v FROM s) WHERE length(v) >= 7),
 b AS (SELECT interaction_id, term, max(score) AS score FROM r GROUP BY 1, 2)
 SELECT interaction_id, term, score, CAST(row_number() OVER (PARTITION BY interaction_id ORDER BY score DESC, length(term) DESC, term) AS INT) AS rank FROM b QUALIFY rank <= 20""")

@@ -105,3 +105,28 @@ def test_keyed_state_stays_in_the_engine(spark, tmp_path):
     names = {s["operatorName"] for s in query.lastProgress["stateOperators"]}
     assert names and not any("transformWithState" in n for n in names)
     assert sorted(tuple(r)[:3] for r in jobs.contact_totals(spark, f"{tmp_path}/out").select("contact_id", "interaction_count", "total_chars").collect()) == [("0", 2, 4), ("1", 2, 6), ("2", 2, 8), ("3", 2, 10)]
+
+
+def test_terms_are_whole_words_of_any_letters_in_both_engines(spark):
+    import duckdb
+
+    from spanforge import catalog
+    from spanforge.functions.text import high_signal_terms
+
+    texts = ["stx345ñ and abc-123", "é12 oak road", "12 oak road, 15 feet of ßx345", "x345 x346", "_ab123 ab1234"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT unnest(range(5)) AS doc_id, unnest(?) AS text, 'en' AS lang, 's' AS source", [texts])
+    want = con.execute(catalog.ORACLES["txt14_high_signal_terms"]).fetchall()
+    got = high_signal_terms(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "interaction_id string, text string"), "interaction_id")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and ("3", "x346", 82, 2) in want
+
+
+def test_equal_distances_go_by_id(spark):
+    import math
+
+    from spanforge.operators.ledger import vector_search
+
+    v = [math.sin(i * i) for i in range(64)]
+    claims = spark.createDataFrame([(i, [x * (1 + i / 7) for x in v]) for i in range(40)], "id long, embedding array<double>")
+    out = vector_search(claims.where("id = 39").selectExpr("id AS query_id", "embedding"), claims, 8, 0.9)
+    assert [(r.id, r.distance) for r in out.orderBy("rank").collect()] == [(i, 0.0) for i in range(8)]
