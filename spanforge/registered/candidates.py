@@ -22,8 +22,9 @@ V = "interactions contacts project_contacts affinity"
 COLS = ["span_id", "project_id", "source", "weight", "score", "assigned"]
 
 
-def _agg(t):
-    return c.aggregate_candidates(c.from_project_contacts(_spans(t), t.project_contacts), c.from_affinity(_spans(t), t.affinity), c.from_existing_project(_spans(t)))
+def _agg(t, only: str = "true", cap: int | None = None):
+    spans = _spans(t).where(only)
+    return c.span_candidates(spans, c.contact_candidates(spans, t.project_contacts, t.affinity), cap=cap)
 
 
 register("cnd01_project_contacts", lambda t: c.from_project_contacts(_spans(t), t.project_contacts).select(*COLS), V, f"WITH {HEAD}, {PC} SELECT * FROM pc")
@@ -34,7 +35,7 @@ register("cnd16_blocklist", lambda t: c.apply_blocklist(_agg(t), t.projects.sele
 register("cnd17_owner_override", lambda t: c.owner_override(_agg(t), _spans(t), t.project_contacts).select("span_id", "project_id", F.round("score", 6).alias("score"), "assigned", "owner_override"), V, f"""WITH {HEAD}, {PC}, {AF}, {EX}, {AGG},
 ow AS (SELECT contact_id, min(project_id) AS owned FROM project_contacts WHERE role = 'owner' AND is_active GROUP BY 1 HAVING count(DISTINCT project_id) = 1), so AS (SELECT span_id, owned FROM sp JOIN ow USING (contact_id))
 SELECT ag.span_id, project_id, round(score + CASE WHEN owned IS NOT NULL THEN 1.25::DOUBLE ELSE 0 END, 6) AS score, assigned OR owned IS NOT NULL AS assigned, owned IS NOT NULL AS owner_override FROM ag LEFT JOIN so USING (span_id) WHERE owned IS NULL OR owned = project_id""")
-register("cnd19_rank", lambda t: c.rank_candidates(c.flag_weak(_agg(t)), 3).select("span_id", "project_id", "rank"), V, f"""WITH {HEAD}, {PC}, {AF}, {EX}, {AGG}
+register("cnd19_rank", lambda t: c.rank_candidates(c.flag_weak(_agg(t, cap=3)), 3).select("span_id", "project_id", "rank"), V, f"""WITH {HEAD}, {PC}, {AF}, {EX}, {AGG}
 SELECT span_id, project_id, CAST(row_number() OVER (PARTITION BY span_id ORDER BY assigned DESC, n_sources DESC, weight DESC, score DESC, project_id) AS INT) AS rank FROM ag QUALIFY rank <= 3""")
 
 
@@ -78,7 +79,7 @@ h AS (SELECT span_id, place, role, id AS project_id, 2 * 6371.0 * asin(sqrt(leas
 g AS (SELECT span_id, project_id, min(d) AS d, count(DISTINCT place) AS n, count(*) FILTER (WHERE role = 'destination') AS de, count(*) FILTER (WHERE role = 'origin') AS o, count(*) FILTER (WHERE role = 'proximity') AS pr FROM h WHERE d <= 300 GROUP BY 1, 2),
 r AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY span_id ORDER BY d, project_id) <= 5)
 SELECT span_id, project_id, round(greatest(0.05, least(0.55, 0.05 + 0.35 * (1 - d / 300) + CASE WHEN greatest(de, o) >= pr AND greatest(de, o) > 0 THEN 0.12 ELSE 0 END + least(0.08, 0.02 * (n - 1)))), 4) AS score FROM r""")
-register("cnd10_floater_anti_signal", lambda t: c.for_every_candidate(_agg(t), _spans(t).where("is_floater").select("span_id"), "floater_anti_signal", -0.28).select("span_id", "project_id", "score"), V, f"WITH {HEAD}, {PC}, {AF}, {EX}, {AGG} SELECT ag.span_id, ag.project_id, -0.28::DOUBLE AS score FROM ag JOIN sp USING (span_id) WHERE is_floater")
+register("cnd10_floater_anti_signal", lambda t: c.for_every_candidate(_agg(t, "is_floater"), _spans(t).where("is_floater").select("span_id"), "floater_anti_signal", -0.28).select("span_id", "project_id", "score"), V, f"WITH {HEAD}, {PC}, {AF}, {EX}, {AGG} SELECT ag.span_id, ag.project_id, -0.28::DOUBLE AS score FROM ag JOIN sp USING (span_id) WHERE is_floater")
 CT = "ct AS (SELECT *, CASE WHEN project_id IS NOT NULL AND attribution_decision = 'assign' THEN 'confirmed' END AS st FROM claims)"
 register("cnd11_claim_overlap", lambda t: c.claim_overlap(t.claims.select(F.col("id").alias("span_id"), "contact_id", F.col("claim_text").alias("text")).distinct(), confirmation_state(t.claims)).select("span_id", "project_id", F.round("score", 4).alias("score")), "claims", f"""WITH {CT},
 so AS (SELECT * FROM ct WHERE active AND st = 'confirmed' QUALIFY row_number() OVER (PARTITION BY contact_id, project_id ORDER BY created_at DESC, id) <= 8),

@@ -130,3 +130,17 @@ def test_equal_distances_go_by_id(spark):
     claims = spark.createDataFrame([(i, [x * (1 + i / 7) for x in v]) for i in range(40)], "id long, embedding array<double>")
     out = vector_search(claims.where("id = 39").selectExpr("id AS query_id", "embedding"), claims, 8, 0.9)
     assert [(r.id, r.distance) for r in out.orderBy("rank").collect()] == [(i, 0.0) for i in range(8)]
+
+
+def test_candidates_by_contact_equal_those_by_span(spark):
+    spans = spark.sql("SELECT CAST(id AS STRING) AS span_id, CAST(id % 3 AS STRING) AS contact_id, CASE WHEN id % 5 > 0 THEN CAST(id % 6 AS STRING) END AS project_id, 'roof' AS trade, id % 2 = 0 AS is_floater FROM range(40)")
+    links = spark.sql("SELECT CAST(id % 2 AS STRING) AS contact_id, CAST(id AS STRING) AS project_id, CASE WHEN id > 2 THEN 'roof' END AS trade, id <> 4 AS is_active FROM range(6)")
+    edges = spark.sql("SELECT CAST(id % 3 AS STRING) AS contact_id, CAST(id AS STRING) AS project_id, CAST(id AS DOUBLE) / 4 AS weight FROM range(9)")
+    want = candidates.aggregate_candidates(candidates.from_project_contacts(spans, links), candidates.from_affinity(spans, edges), candidates.from_existing_project(spans))
+    by_contact = candidates.contact_candidates(spans, links, edges)
+    rows = lambda df: sorted(str(tuple(r)) for r in df.withColumn("score", F.round("score", 9)).select(want.columns).collect())
+    got = candidates.span_candidates(spans, by_contact)
+    assert rows(got) == rows(want)
+    ranked = lambda df: sorted((r.span_id, r["rank"], r.project_id) for r in candidates.rank_candidates(candidates.flag_weak(df), 2).collect())
+    assert ranked(candidates.span_candidates(spans, by_contact, cap=2)) == ranked(want)
+    assert not got._jdf.queryExecution().optimizedPlan().nodeName().endswith("Aggregate")
