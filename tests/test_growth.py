@@ -1,8 +1,10 @@
 """Steps whose work must grow no faster than their input."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from spanforge.operators import candidates, entity, identity, more
+from spanforge.operators import candidates, entity, identity, more, segment, terms
 from spanforge.plans import match
 
 
@@ -144,3 +146,46 @@ def test_candidates_by_contact_equal_those_by_span(spark):
     ranked = lambda df: sorted((r.span_id, r["rank"], r.project_id) for r in candidates.rank_candidates(candidates.flag_weak(df), 2).collect())
     assert ranked(candidates.span_candidates(spans, by_contact, cap=2)) == ranked(want)
     assert not got._jdf.queryExecution().optimizedPlan().nodeName().endswith("Aggregate")
+
+
+def test_positions_meet_once(spark, monkeypatch):
+    seen = []
+
+    def spy(places, targets, km):
+        seen.append((places.count(), targets.count()))
+        return match.within_distance(places, targets, km)
+
+    monkeypatch.setattr(candidates, "within_distance", spy)
+    places = spark.createDataFrame([(f"s{i % 3}", f"p{i}", float(i % 2), 0.0, "origin" if i % 4 else "destination") for i in range(60)] + [("s0", "p9", None, 0.0, "origin")], "span_id string, place string, lat double, lon double, role string")
+    projects = spark.createDataFrame([(f"{i:03d}", float(i % 2) / 10, 0.0) for i in range(80)] + [("two", 0.0, 0.0), ("two", 1.0, 0.0), ("far", 80.0, 0.0), ("none", None, 0.0)], "id string, lat double, lon double")
+    got = {(r.span_id, r.project_id) for r in candidates.from_geo(places, projects, 30.0).collect()}
+    assert got == {(s, p) for s in ("s0", "s1", "s2") for p in ("000", "002", "004", "006", "008")}
+    assert seen[0][0] <= 3 and seen[0][1] <= 7
+    # A project of two positions counts the places at both.
+    assert [round(r.score, 4) for r in candidates.from_geo(places, projects.where("id = 'two'"), 30.0).collect()] == [0.55] * 3
+
+
+def test_classes_are_given_to_different_words(spark):
+    text = "Pay $1,200 for the red door, said Anna and Anna. " * 3
+    out = terms.tagged_terms(spark.createDataFrame([(1, text)], "id int, text string"), "id", (r"\b(red [a-z]+)",), ["door"], ["the", "and"])
+    got = {r.term: r["class"] for r in out.collect()}
+    assert (got["$1,200"], got["red door"], got["anna"], got["door"], got["pay"]) == ("dollar", "compound", "proper", "domain", "generic") and len(got) == out.count()
+    assert "array_distinct(concat(" not in plan(out)
+
+
+def test_cuts_are_found_without_a_look_at_each_character(spark):
+    rng = random.Random(4)
+    texts = [(i, "".join(rng.choice("ab. \n😀é") if rng.random() < 0.05 * (i % 4) else "x" for _ in range(rng.randrange(0, 900)))) for i in range(40)]
+    target, reach, want = 120, 50, {}
+    for i, t in texts:
+        cuts = [0]
+        while cuts[-1] + target + reach < len(t):
+            w = cuts[-1] + target
+            places = lambda signs: [(abs(p - w), p) for p in range(w - reach + 1, w + reach + 1) if t[p - 1] in signs]
+            cuts.append(min(places("\n.!?") or places(" \n") or [(0, w)])[1])
+        want[i] = list(zip(cuts, cuts[1:] + [len(t)]))
+    out = segment.split_natural(spark.createDataFrame(texts, "id int, text string"), "id", target, reach)
+    got = {}
+    for r in out.orderBy("id", "span_index").collect():
+        got.setdefault(r.id, []).append((r.char_start, r.char_end))
+    assert got == want and "RLIKE" not in plan(out)
