@@ -24,11 +24,12 @@ def tagged_terms(texts: DataFrame, key: str, compounds: tuple[str, ...] = (), do
     term's class is the least of those it has.
     """
     names = list(CLASS_WEIGHTS)
-    tag = lambda terms, name: F.transform(terms, lambda t: F.struct(F.lower(t).alias("term"), F.lit(names.index(name)).alias("c")))
+    tag = lambda terms, name: F.transform(F.array_distinct(terms), lambda t: F.struct(F.lower(t).alias("term"), F.lit(names.index(name)).alias("c")))
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9$]+", " "), " "), lambda w: (F.length(w) >= 3) & ~_among(w, stopwords))
-    single = F.transform(words, lambda w: F.struct(w.alias("term"), F.when(_among(w, domain), names.index("domain")).otherwise(names.index("generic")).alias("c")))
+    # Words are made distinct before they get a class: an array of structs is compared pair by pair.
+    single = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("term"), F.when(_among(w, domain), names.index("domain")).otherwise(names.index("generic")).alias("c")))
     all_ = F.concat(tag(F.regexp_extract_all("text", F.lit(DOLLARS), F.lit(1)), "dollar"), tag(extract_compounds(F.col("text"), compounds), "compound"), tag(extract_proper_nouns(F.col("text")), "proper"), single)
-    rows = texts.where("text IS NOT NULL").select(key, F.explode(F.array_distinct(all_)).alias("t")).groupBy(key, F.col("t.term").alias("term")).agg(F.min("t.c").alias("c"))
+    rows = texts.where("text IS NOT NULL").select(key, F.explode(all_).alias("t")).groupBy(key, F.col("t.term").alias("term")).agg(F.min("t.c").alias("c"))
     at = F.col("c") + 1
     return rows.select(key, "term", F.element_at(F.lit(names), at).alias("class"), F.element_at(F.lit(list(CLASS_WEIGHTS.values())), at).alias("weight"))
 
