@@ -54,8 +54,12 @@ def split_natural(spans: DataFrame, key: str, target: int, reach: int = 280) ->
     def next_cut(cursor: Column) -> Column:
         want = cursor + target
         window = F.substring(F.col("text"), want - reach + 1, F.lit(2 * reach))
-        places = lambda p: F.transform(F.filter(F.sequence(F.lit(1), F.length(window)), lambda i: F.substring(window, i, F.lit(1)).rlike(p)), lambda i: F.struct(F.abs(want - reach + i - want).alias("d"), (want - reach + i).alias("at")))
-        best = lambda p: F.array_min(places(p))["at"]
+        before, after = F.substring(window, 1, reach), F.substring(window, reach + 1, 2 * reach)
+        # Of each half only the place nearest to the target is looked for.
+        last = lambda p: F.length(F.regexp_extract(before, f"(?s)^.*{p}", 0))
+        first = lambda p: F.length(F.regexp_extract(after, f"(?s)^.*?{p}", 0))
+        place = lambda gap, at: F.when(gap, F.struct(F.abs(at).alias("d"), (want + at).alias("at")))
+        best = lambda p: F.array_min(F.array(place(last(p) > 0, last(p) - reach), place(first(p) > 0, first(p))))["at"]
         return F.coalesce(best(r"[\n.!?]"), best(r"\s"), want)
 
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / (target - reach)).cast("int")))
