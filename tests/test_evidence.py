@@ -50,6 +50,19 @@ def test_index_recall_on_given_vectors(spark, sf_dir):
     assert np.mean([len(got.get(ids[q], set()) & {ids[i] for i in near}) / 10 for q, near in want.items()]) >= 0.9
 
 
+def test_index_exchanges_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    claims = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))] + [(900, [0.0] * 8), (901, [1.0]), (902, None)], "id long, embedding array<double>")
+    queries = claims.where("id % 30 = 0").select(F.col("id").alias("query_id"), "embedding")
+    whole = probe.indexed_probe(queries, claims, 3)
+    parts = probe.indexed_probe(queries, claims, 3, block=50, asked=4)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) and whole.count() == 30
+    assert "array_distinct" not in parts._jdf.queryExecution().executedPlan().toString() and "Join" not in parts._jdf.queryExecution().executedPlan().toString()
+    # What shares a bucket is what the index says.
+    met = probe.bucketed(queries, "query_id", 2, 6, 1).withColumnRenamed("id", "q").join(probe.bucketed(claims, "id", 2, 6), ["table", "bucket"]).where("q <> id AND id < 900 AND q < 900").select("q", "id").distinct()
+    assert {(r.query_id, r.id) for r in probe.indexed_probe(queries, claims, 400, 2, 6, 1).collect()} == set(map(tuple, met.collect()))
+
+
 def test_probe_seed_and_fallback(spark):
     rows = [(1, "1", [1.0, 0.0], True, "the Windship deck", 5), (2, "1", [0.9, 0.1], True, "windship again", 9), (3, "2", [0.0, 1.0], True, "winship", 1), (4, "9", [0.8, 0.2], False, "windship old", 99), (5, "9", None, True, "windship none", 99), (6, "9", [0.0, 0.9], True, "x", 1)]
     projects = spark.createDataFrame([("1", "White Residence"), ("2", "Other")], "id string, name string")
