@@ -189,3 +189,14 @@ def test_cuts_are_found_without_a_look_at_each_character(spark):
     for r in out.orderBy("id", "span_index").collect():
         got.setdefault(r.id, []).append((r.char_start, r.char_end))
     assert got == want and "RLIKE" not in plan(out)
+
+
+def test_speakers_read_labels_once(spark, tmp_path):
+    """Labels are scanned once, however many ways lead from them to a contact."""
+    at = str(tmp_path / "labels")
+    spark.createDataFrame([("Anna Berg", "p"), ("Anna", "q")], "label string, project_id string").write.parquet(at)
+    people = spark.createDataFrame([("1", "Anna Berg", ["annie"], False)], "id string, name string, aliases array<string>, is_internal boolean")
+    edges = spark.createDataFrame([("1", "p", 0.5), ("1", "p", 0.7), ("1", "x", 2.0)], "contact_id string, project_id string, weight double")
+    out = entity.resolve_speakers(spark.read.parquet(at), people, edges)
+    assert plan(out).count("FileScan") == 1
+    assert sorted(map(tuple, out.collect())) == [("Anna", "q", "1", 65, "first_name_prefix", 65.0), ("Anna Berg", "p", "1", 100, "exact_name", 107.0)]
