@@ -62,6 +62,8 @@ KINDS = r"\b((?:small|large|red) [a-z]+)\b"
 
 def _weighted(t):
     texts = t.claims.select(F.col("call_id").alias("span_id"), F.expr(SAID.replace("VARCHAR", "STRING")).alias("text"))
+    # A call's texts are exchanged rather than the terms made of them.
+    texts = texts.repartition("span_id")
     spans, pairs, claims = _call_claims(t)
     return c.claim_crossref(spans, pairs, claims, g.tagged_terms(texts, "span_id", (KINDS,), ["gizmo", "bolt"], ["for", "the", "and"]))
 

@@ -200,3 +200,15 @@ def test_speakers_read_labels_once(spark, tmp_path):
     out = entity.resolve_speakers(spark.read.parquet(at), people, edges)
     assert plan(out).count("FileScan") == 1
     assert sorted(map(tuple, out.collect())) == [("Anna", "q", "1", 65, "first_name_prefix", 65.0), ("Anna Berg", "p", "1", 100, "exact_name", 107.0)]
+
+
+def test_crossref_meets_projects_not_words(spark):
+    """60 words of a span and 60 of a project begin alike; the span meets the project once."""
+    alike = lambda i: f"abcde{chr(97 + i // 10)}{chr(97 + i % 10)}"
+    spans = spark.createDataFrame([("s", " ".join(map(alike, range(60)))), ("t", "abcd abcdef none")], "span_id string, text string")
+    pairs = spark.createDataFrame([("s", "p"), ("s", "q"), ("t", "p"), ("t", "r")], "span_id string, project_id string")
+    claims = spark.createDataFrame([(True, "p", " ".join(map(alike, range(60)))), (True, "q", "abcde and abcd"), (True, "q", None), (False, "r", "none")], "active boolean, project_id string, claim_text string")
+    out = candidates.claim_crossref(spans, pairs, claims)
+    assert most_met(out) <= 4
+    # Of two projects with claims both have each term of s; abcdef begins like words of p, and r has no active claims.
+    assert sorted(map(tuple, out.collect())) == [("s", "p", 1.0, 60), ("s", "q", 1.0, 60)] + [("t", "p", 0.082, 1)]
