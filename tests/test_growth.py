@@ -212,3 +212,15 @@ def test_crossref_meets_projects_not_words(spark):
     assert most_met(out) <= 4
     # Of two projects with claims both have each term of s; abcdef begins like words of p, and r has no active claims.
     assert sorted(map(tuple, out.collect())) == [("s", "p", 1.0, 60), ("s", "q", 1.0, 60)] + [("t", "p", 0.082, 1)]
+
+
+def test_calls_of_a_speaker_share_its_projects(spark):
+    """40 calls of a speaker with 30 projects: pairs are made once, by the last join."""
+    calls = spark.range(40).select(F.col("id").cast("string").alias("interaction_id"), F.lit("a").alias("contact_id")).unionByName(spark.createDataFrame([("7", "b"), ("7", "b"), ("8", None), (None, "b")], "interaction_id string, contact_id string"))
+    people = spark.createDataFrame([("a", "other", True), ("b", "client", False)], "id string, contact_type string, is_internal boolean")
+    edges = spark.range(30).select(F.lit("a").alias("contact_id"), F.col("id").cast("string").alias("project_id"), F.lit(1.0).alias("weight")).unionByName(spark.createDataFrame([("b", "3", 1.0), ("b", "x", 0.5), ("b", "y", 0.0)], "contact_id string, project_id string, weight double"))
+    out = entity.expand_from_speakers(calls, people, edges)
+    want = {(str(i), str(p)): (0.7, 1) for i in range(40) for p in range(30)} | {("7", "3"): (0.95, 2), ("7", "x"): (0.95, 1), (None, "3"): (0.95, 1), (None, "x"): (0.95, 1)}
+    assert {(r.interaction_id, r.project_id): (r.score, r.n_speakers) for r in out.collect()} == want
+    made = [int(x.metrics().apply("numOutputRows").value()) for x in _joins(out)]
+    assert sum(n >= 1000 for n in made) == 1
