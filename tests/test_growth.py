@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from spanforge.operators import candidates, entity, identity, more, segment, terms
+from spanforge.operators import candidates, entity, facts, identity, more, segment, terms
 from spanforge.plans import match
 
 
@@ -224,3 +224,20 @@ def test_calls_of_a_speaker_share_its_projects(spark):
     assert {(r.interaction_id, r.project_id): (r.score, r.n_speakers) for r in out.collect()} == want
     made = [int(x.metrics().apply("numOutputRows").value()) for x in _joins(out)]
     assert sum(n >= 1000 for n in made) == 1
+
+
+def test_references_meet_one_row_of_facts(spark):
+    """50 references to a project of 20 facts meet one row each, and take the same fact as by pairs."""
+    known = spark.range(20).select(F.format_string("f%02d", "id").alias("fact_id"), F.lit("p").alias("project_id"), F.lit("scope").alias("fact_kind"), F.col("id").alias("as_of_at"), F.concat(F.lit("word"), F.col("id")).alias("fact_payload"))
+    asked = spark.range(50).select(F.col("id").cast("string").alias("span_id"), F.lit("1").alias("ref_id"), F.lit("p").alias("project_id"), F.lit("scope").alias("fact_kind"), F.when(F.col("id") < 20, F.col("id")).alias("fact_as_of_at"), F.when(F.col("id") < 40, F.concat(F.lit("the word"), F.col("id") % 20)).alias("fact_excerpt"))
+    out = facts.matched_facts(asked, known)
+    assert most_met(out) == 50
+    # By time; else by words, where word1 stands in word10 to word19 too and the newest of them counts; else the newest.
+    by_word = {f"{i}": "f19" if i == 21 else f"f{i - 20:02}" for i in range(20, 40)}
+    assert {r.span_id: r.fact_id for r in out.collect()} == {f"{i}": f"f{i:02}" for i in range(20)} | by_word | {f"{i}": "f19" for i in range(40, 50)}
+
+
+def test_a_denial_stays_in_its_text(spark):
+    """A negation in one text of a span denies no word at that place of another."""
+    texts = spark.createDataFrame([("s", "there is no door"), ("s", "we see the panel"), ("t", "never that big, old panel"), ("u", "not well, panel")], "span_id string, text string")
+    assert {(r.span_id, *sorted(r.denied)) for r in facts.denied_words(texts).collect()} == {("s", "door"), ("t", "big", "that"), ("u", "well")}
