@@ -241,3 +241,22 @@ def test_a_denial_stays_in_its_text(spark):
     """A negation in one text of a span denies no word at that place of another."""
     texts = spark.createDataFrame([("s", "there is no door"), ("s", "we see the panel"), ("t", "never that big, old panel"), ("u", "not well, panel")], "span_id string, text string")
     assert {(r.span_id, *sorted(r.denied)) for r in facts.denied_words(texts).collect()} == {("s", "door"), ("t", "big", "that"), ("u", "well")}
+
+
+def test_tiers_are_found_in_the_text_and_not_exchanged_by_tier(spark):
+    texts = spark.createDataFrame([("1", "an economy or promo part"), ("2", "Large part, large house"), ("3", "economy-like"), ("4", None), ("5", "nothing")], "span_id string, text string")
+    tiers = spark.createDataFrame([("economy", "small", 0.0, 10.0), ("promo", "small", 0.0, 10.0), ("large house", "upper", 90.0, 110.0)], "term string, tier string, low double, high double")
+    projects = spark.createDataFrame([("a", 5.0), ("b", 100.0)], "id string, contract_value double")
+    with_nearest = candidates.from_budget_tier(texts, tiers, projects, nearest=1)
+    want = [("1", "a", "small"), ("2", "b", "upper"), ("3", "a", "small")]
+    assert sorted((r.span_id, r.project_id, r.evidence) for r in with_nearest.collect()) == want
+    top = plan(with_nearest).split("HashAggregate")[0]
+    assert "BroadcastHashJoin" in top and "Exchange" not in top
+
+
+def test_groups_of_a_large_dictionary_are_the_same(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "a b c"), (2, "c c"), (3, "b")], "id int, text string")
+    terms = spark.createDataFrame([("b c", "x"), ("c", "x"), ("c", "y"), ("", "z")], "term string, kind string")
+    few = sorted(map(tuple, match.named_groups(texts, terms, "id", "kind").collect()))
+    monkeypatch.setattr(match, "FEW_TERMS", 1)
+    assert few == sorted(map(tuple, match.named_groups(texts, terms, "id", "kind").collect())) == [(1, "x"), (1, "y"), (2, "x"), (2, "y")]
