@@ -22,6 +22,26 @@ def test_large_dictionaries_and_phrases_are_exchanged(spark, monkeypatch):
     assert "Broadcast" not in plan(large) and sorted(map(tuple, large.collect())) == want
 
 
+def test_phrases_are_made_where_a_term_begins(spark):
+    """Of a text of 300 words, of which 3 places begin like a term, only these become phrases."""
+    texts = spark.createDataFrame([(1, "Old mill. " + "a b " * 146 + "the old mill, the old mill road"), (2, "old")], "id int, text string")
+    terms = spark.createDataFrame([("p", "old mill"), ("q", "Old Mill Road"), ("r", "the old mill road x")], "project_id string, term string")
+    out = match.find_terms(texts, terms, "id", 3)
+    assert sorted((r.id, r.project_id, r.first_token, r.hits) for r in out.collect()) == [(1, "p", 0, 3), (1, "q", 298, 1)]
+    assert sum(int(x.metrics().apply("numOutputRows").value()) for x in _joins(out, "Generate")) <= 320
+
+
+def test_short_and_long_terms_agree_by_either_way(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "a b c a b"), (2, "b c"), (3, ""), (4, None), (5, "c a a a")], "id int, text string")
+    terms = spark.createDataFrame([("a",), ("A b",), ("a, b c",), ("a a",), ("b c a b x",), ("c",), ("c",)], "term string")
+    rows = lambda longest: sorted(map(tuple, match.find_terms(texts, terms, "id", longest).collect()))
+    want = {1: [(1, "a", 0, 2), (1, "c", 2, 2), (2, "c", 1, 2), (5, "a", 1, 3), (5, "c", 0, 2)]}
+    want[None] = sorted(want[1] + [(1, "A b", 0, 2), (1, "a, b c", 0, 1), (5, "a a", 1, 2)])
+    for few in (50_000, 1):
+        monkeypatch.setattr(match, "BROADCAST_TERMS", few)
+        assert {n: rows(n) for n in want} == want
+
+
 def test_mentions_join_the_best_of_a_name(spark):
     """One project has 300 contacts of a name; a span meets one of them for each way to name it."""
     people = spark.range(300).select(F.col("id").cast("string"), F.lit("Anna Berg").alias("name"), F.lit(False).alias("floats_between_projects"))
@@ -33,8 +53,8 @@ def test_mentions_join_the_best_of_a_name(spark):
     assert rows and max(rows) <= 300
 
 
-def _joins(df):
-    """Join nodes of the executed plan, with what they made."""
+def _joins(df, kind="Join"):
+    """Join nodes of the executed plan, or others by name, with what they made."""
     qe = df._jdf.queryExecution()
     qe.toRdd().count()
     found, todo = [], [qe.executedPlan()]
@@ -47,7 +67,7 @@ def _joins(df):
         if name.endswith("QueryStage"):
             todo.append(node.plan())
             continue
-        if "Join" in name and node.metrics().contains("numOutputRows"):
+        if kind in name and node.metrics().contains("numOutputRows"):
             found.append(node)
         kids = node.children()
         todo += [kids.apply(i) for i in range(kids.size())]
