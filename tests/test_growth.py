@@ -154,6 +154,21 @@ def test_equal_distances_go_by_id(spark):
     assert [(r.id, r.distance) for r in out.orderBy("rank").collect()] == [(i, 0.0) for i in range(8)]
 
 
+def test_vector_blocks_meet_in_any_partition(spark):
+    """Blocks lie in partitions of their own, as those of large tables do."""
+    from spanforge.operators.ledger import vector_search
+
+    claims = spark.range(40).selectExpr("id", "array(cos(id / 9D), sin(id / 9D)) AS embedding")
+    near = lambda block: sorted(map(tuple, vector_search(claims.where("id % 5 = 0").selectExpr("id AS query_id", "embedding"), claims, 3, 0.9, block).collect()))
+    want = {q: sorted((i for i in range(40) if i != q), key=lambda i: (abs(i - q), i))[:3] for q in range(0, 40, 5)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for block in (4096, 8, 3):
+            assert [(q, rank, i) for q, i, _, rank in sorted(near(block), key=lambda r: (r[0], r[3]))] == [(q, n, i) for q in want for n, i in enumerate(want[q], 1)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_candidates_by_contact_equal_those_by_span(spark):
     spans = spark.sql("SELECT CAST(id AS STRING) AS span_id, CAST(id % 3 AS STRING) AS contact_id, CASE WHEN id % 5 > 0 THEN CAST(id % 6 AS STRING) END AS project_id, 'roof' AS trade, id % 2 = 0 AS is_floater FROM range(40)")
     links = spark.sql("SELECT CAST(id % 2 AS STRING) AS contact_id, CAST(id AS STRING) AS project_id, CASE WHEN id > 2 THEN 'roof' END AS trade, id <> 4 AS is_active FROM range(6)")
