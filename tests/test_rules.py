@@ -241,3 +241,25 @@ def test_find_terms_of_many_words(spark):
 def test_jaro_winkler_counts_whole_transpositions():
     """Three characters out of place are one transposition, as in Winkler's own count."""
     assert round(entity.jaro_winkler("èoumentan", "èoumantan"), 4) == 0.9306 and round(entity.jaro_winkler("rendatnd", "randatnd"), 4) == 0.8821
+
+
+def test_jaro_winkler_takes_long_words_in_one_pass():
+    """Words of 40,000 letters, as junk has them: every letter of one used to be held against half of the other."""
+    import time
+
+    began = time.time()
+    assert round(entity.jaro_winkler("ab" * 20_000, "c" * 39_999 + "b"), 4) == 0.3334
+    assert time.time() - began < 5
+
+
+def test_names_of_pairs_leave_the_rest_of_a_text_unsplit(spark):
+    from types import SimpleNamespace
+
+    from spanforge.registered import parts
+
+    texts = ["", "one", "one two", "one two three", "- one two three", "1. one, two; three four five " + "x " * 500, "one two   ", "éa ßb ñc d"]
+    df = spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], "interaction_id string, text string")
+    out = parts._pairs(SimpleNamespace(spark=spark, texts=df))
+    names = {r.pair_id: r.name_a for r in out.collect()}
+    assert names == {"3": "one two", "4": "one two", "5": "one two", "7": "éa ßb"}
+    assert ", 5)" in out._jdf.queryExecution().optimizedPlan().toString()
