@@ -109,6 +109,15 @@ def test_projects_of_a_trade_are_not_made_distinct_by_span(spark):
     assert not out._jdf.queryExecution().optimizedPlan().nodeName().endswith("Aggregate")
 
 
+def test_a_trade_reaches_projects_of_all_ids(spark, sf_dir):
+    """A registered query that read only projects whose ids begin with 0 or 1, and an operator that knew names of two words."""
+    from spanforge import catalog
+
+    assert {r[0] for r in catalog.QUERIES["cnd12_other_party_trade"](spark, sf_dir).selectExpr("left(project_id, 1)").distinct().collect()} > {"2", "5", "9"}
+    out = more.other_party_trade(spark.createDataFrame([(1, "Ann van Dyck"), (2, "Ann van")], "span_id int, speaker string"), spark.createDataFrame([("Ann van Dyck", "roof")], "name string, trade string"), spark.createDataFrame([("roof", "7", True)], "trade string, project_id string, is_active boolean"))
+    assert [tuple(r) for r in out.select("span_id", "project_id").collect()] == [(1, "7")]
+
+
 def test_holders_of_an_alias_are_counted_once(spark):
     contacts = spark.sql("SELECT id, 'N' || id AS name, CAST(NULL AS STRING) AS company, array('Bob') AS aliases FROM range(80)")
     out = entity.contact_alias_collisions(contacts.selectExpr("id AS contact_id", "'bob' AS alias").union(spark.sql("SELECT 99L, 'BOB'")), contacts)
