@@ -118,6 +118,17 @@ def test_a_trade_reaches_projects_of_all_ids(spark, sf_dir):
     assert [tuple(r) for r in out.select("span_id", "project_id").collect()] == [(1, "7")]
 
 
+def test_spans_of_one_group_meet_its_members_in_all_partitions(spark):
+    """One trade and one type have all spans and all projects: their pairs were made in one task."""
+    made = lambda out: [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    ids = lambda n, *more_: spark.range(n).selectExpr("CAST(id AS STRING) AS id", *more_)
+    typed = candidates.from_structural_type(ids(400, "'a deck' AS text").withColumnRenamed("id", "span_id"), spark.createDataFrame([("deck", "deck")], "term string, type string"), ids(50, "'deck' AS type"))
+    traded = more.other_party_trade(ids(400, "'Ann' AS speaker").withColumnRenamed("id", "span_id"), spark.createDataFrame([("Ann", "roof")], "name string, trade string"), ids(50, "'roof' AS trade", "true AS is_active").withColumnRenamed("id", "project_id"))
+    for out in (typed, traded):
+        assert out.select("span_id", "project_id").distinct().count() == out.count() == 20_000
+        assert len(made(out)) > 1 and max(made(out)) < 15_000
+
+
 def test_holders_of_an_alias_are_counted_once(spark):
     contacts = spark.sql("SELECT id, 'N' || id AS name, CAST(NULL AS STRING) AS company, array('Bob') AS aliases FROM range(80)")
     out = entity.contact_alias_collisions(contacts.selectExpr("id AS contact_id", "'bob' AS alias").union(spark.sql("SELECT 99L, 'BOB'")), contacts)
